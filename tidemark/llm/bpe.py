@@ -147,10 +147,10 @@ def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, pieces = _worker(known.value, pattern)
         decimal = [str(i) for i in range(len(merges.pieces))]
-        for batch in parts(batches, "text", 4 << 20):
+        for batch in parts(batches, "text"):
             rows: list[tuple] = []
-            for raw in pieces([x or "" for x in batch["text"].to_pylist()]):
-                own = np.frombuffer(raw, merges.dtype).tolist()
+            for found in pieces([x or "" for x in batch["text"].to_pylist()], merges.dtype):
+                own = found.tolist()
                 back = b"".join(map(merges.pieces.__getitem__, own))
                 if ids:
                     rows.append((own, back))

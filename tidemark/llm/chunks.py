@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The splitting pattern with white space spelt out as Unicode's White_Space property.
@@ -18,52 +21,90 @@ class Pieces:
     """Encodes texts through a memory of pieces.
 
     A single space between characters that aren't white space always starts a match of the pattern. So a text of such
-    spaces only can be cut there: str.split does that fast, and the memory has the ids of each part. The parts of several
-    texts that it lacks are matched against the pattern, and what the memory of matches lacks goes to `encode` at once, which
-    gets distinct matches and gives the bytes of their ids. Other texts go through the pattern as a whole. Each memory is
-    emptied when it would pass `most` entries.
+    spaces only can be cut there, which Arrow does fast, and the memory has the ids of distinct parts of letters and of other
+    matches. Parts of letters that it lacks go to `encode` at once, and other parts are cut into matches of the pattern;
+    `encode` gets distinct matches and gives the bytes of their ids. Other texts go through the pattern as a whole. A memory
+    that would pass `most` entries keeps what the texts at hand use.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = 300_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
         self.find, self.encode, self.most = regex.compile(spelt(pattern)).findall, encode, most
         self.words: dict[str, bytes] = {}  # by match
-        self.later: dict[str, bytes] = {}  # by part, without the space before it
+        self.later: dict[str, bytes] = {}  # by part of letters, without the space before it
+        # whether the pattern leaves a run of letters and a mark after it as two matches
+        self.plain = self.find(" ab,") == [" ab", ","] and self.find(" ab.") == [" ab", "."] and self.find(" ab") == [" ab"]
 
     def _matched(self, found: list[list[str]]) -> list[bytes]:
         words = self.words
-        if new := {x for own in found for x in own} - words.keys():
-            if len(words) + len(new) > self.most:
+        if new := {x for own in found for x in own if x not in words}:
+            if len(words) + len(new) > self.most // 4:
+                used = {x: words[x] for own in found for x in own if x in words}
                 words.clear()
-                new = {x for own in found for x in own}
+                words.update(used)
             words.update(zip(order := list(new), self.encode(order), strict=True))
         return [b"".join([words[x] for x in own]) for own in found]
 
     def _whole(self, text: str) -> bytes:
         found, out = self.find(text), []
-        for i in range(0, len(found), self.most // 2):
-            out += self._matched([found[i : i + self.most // 2]])
+        for i in range(0, len(found), self.most // 4):
+            out += self._matched([found[i : i + self.most // 4]])
         return b"".join(out)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [x.split(" ") for x in texts]
+    def _known(self, parts: list[str]) -> list[bytes | None]:
+        """The ids of distinct parts; None for those that white space begins or ends, and empty ones."""
         later = self.later
-        need = {part for own in cut for part in own[1:]}
-        if len(need) > self.most:
-            return [self._whole(x) for x in texts]
-        new = need - later.keys()
+        got = list(map(later.get, parts))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        lone, marked, other = [], [], []
+        for i in gaps:
+            x = parts[i]
+            if self.plain and x.isalpha():
+                lone.append(x)
+            elif self.plain and x[-1:] in (",", ".") and x[:-1].isalpha():
+                marked.append((i, x[:-1], x[-1]))
+            elif x and not x[0].isspace() and not x[-1].isspace():
+                other.append(i)
+        new = lone + [x for x in {x for _, x, _ in marked} - set(lone) if x not in later]
         if len(later) + len(new) > self.most:
+            used = {x: later[x] for x in [*parts, *(x for _, x, _ in marked)] if x in later}
             later.clear()
-            new = need
-        plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        later.update(zip(plain, self._matched([self.find(" " + x) for x in plain]), strict=True))
-        firsts = self._matched([self.find(own[0]) for own in cut])
-        out = []
-        for text, own, first in zip(texts, cut, firsts, strict=True):
-            if len(own) > 1 and (not own[0] or own[0][-1].isspace()):
-                out.append(self._whole(text))
-                continue
-            try:
-                out.append(first + b"".join([later[x] for x in own[1:]]))
-            except KeyError:
-                out.append(self._whole(text))
-        return out
+            later.update(used)
+        later.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        ends = dict(zip(",.", self._matched([[","], ["."]]), strict=True))
+        for i in gaps:
+            got[i] = later.get(parts[i])
+        for i, x, mark in marked:
+            got[i] = later[x] + ends[mark]
+        for i, ids in zip(other, self._matched([self.find(" " + parts[i]) for i in other]), strict=True):
+            got[i] = ids
+        return got
+
+    def __call__(self, texts: list[str], kind) -> list[np.ndarray]:
+        """The ids of each text, as numbers of this kind."""
+        if not texts:
+            return []
+        index, offsets, parts = split(texts)
+        known = self._known(parts)
+        firsts = [x.partition(" ")[0] for x in texts]
+        heads = self._matched([self.find(x) for x in firsts])
+        odd = np.array([x is None for x in known] + [False] * len(texts))
+        index[offsets[:-1]] = np.arange(len(texts)) + len(known)  # a text's first part has no space before it
+        wide = np.dtype(kind).itemsize
+        each = [x or b"" for x in known] + heads
+        size = np.array([len(x) for x in each]) // wide
+        ids = np.frombuffer(b"".join(each), kind)
+        n = size[index]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(np.cumsum(size)[index] - ends, n) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[offsets]
+        whole = np.add.reduceat(odd[index], offsets[:-1]) > 0
+        for i, (x, own) in enumerate(zip(firsts, np.diff(offsets).tolist(), strict=True)):
+            whole[i] |= own > 1 and (not x or x[-1].isspace())
+        return [np.frombuffer(self._whole(texts[i]), kind) if whole[i] else flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+
+
+def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """All parts of the texts between single spaces, as places in the list of distinct ones, and where each text's begin; a text has one at least."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy().astype(np.int64), coded.dictionary.to_pylist()

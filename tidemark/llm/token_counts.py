@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import split
 from .common import parts, read
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -127,19 +128,24 @@ class Counter:
                 self.known[x] = self.viterbi(MARK + x)
 
     def __call__(self, texts: list[str | None]) -> list[int]:
-        marked = [MARK + x.replace(" ", MARK) if x else "" for x in texts]
-        # a run of marks belongs to the part after it; without one, each part is what stands between two marks
-        cut = [[] if not x else x.split(MARK)[1:] if MARK * 2 not in x else [y[1:] for y in re.findall(f"{MARK}+[^{MARK}]*", x)] for x in marked]
-        need = {x for own in cut for x in own}
-        new = need - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = need
-        self.learn(new)
+        if not texts:
+            return []
+        texts = [(x or "").replace(MARK, " ") for x in texts]
+        index, offsets, parts = split(texts)
         known = self.known
-        out = [sum([known[x] for x in own]) for own in cut]
+        new = {x for x in parts if x not in known}
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = set(parts)
+        new.discard("")
+        self.learn(new)
+        counts = np.array([known[x] if x else -1 for x in parts])[index]
         if len(known) > MEMORY:
             known.clear()
+        out = np.add.reduceat(counts, offsets[:-1]).tolist()
+        for i in np.flatnonzero(np.minimum.reduceat(counts, offsets[:-1]) < 0).tolist():
+            # a run of marks belongs to the part after it
+            out[i] = sum(self.viterbi(x) for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + texts[i].replace(" ", MARK))) if texts[i] else 0
         return out
 
 
@@ -149,7 +155,7 @@ def count_tokens(documents: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocab.value)
-        for batch in parts(batches, "text", 4 << 20):
+        for batch in parts(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count(batch["text"].to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
