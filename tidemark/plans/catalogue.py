@@ -1,4 +1,10 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from . import market, quality, sessions, studies
+
+QUERIES, ORACLE_SQL = {}, {}
+for _part in (market, quality, sessions, studies):
+    QUERIES |= _part.C.queries
+    ORACLE_SQL |= _part.C.sql
