@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .chunks import split
 from .common import held_out, parts, read, settle
 
 #: Labelled documents of each class (expected number) that weights are learned from, and features that a model may have.
@@ -24,12 +25,14 @@ LEET = {
     "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
 #: Log probability that the channel replaces a letter, drops a separator between letters, or repeats a letter once more.
-SWAP, DROP, REPEAT, KEEP = -2.0, -0.3, -0.7, -0.1
+SWAP, DROP, REPEAT, KEEP = -2.0, -0.3, -2.0, -0.1
 _L = "".join(re.escape(c) for c in LEET)
 #: A word with look-alikes among letters; single characters with separators between them; a letter three times or more.
 _LETTER = r"[^\W\d_]"
-SUSPECT = re.compile(rf"(?<![\w{_L}])(?=[\w{_L}]*{_LETTER})(?=[^\W\d_]*[{_L}])[\w{_L}]{{3,24}}|(?<!\w)(?:[\w{_L}][ .\-_*]{{1,2}}){{3,23}}[\w{_L}](?!\w)|{_LETTER}*(?P<r>{_LETTER})(?P=r){{2,}}{_LETTER}*")
-WORDS = re.compile(rf"{_LETTER}+")
+SUSPECT = re.compile(rf"(?<![\w{_L}])(?=[\w{_L}]*{_LETTER})(?=[^\W\d_]*[{_L}])[\w{_L}]{{3,24}}|(?<!\w)(?:[\w{_L}][.\-_*]{{1,2}}){{3,23}}[\w{_L}](?!\w)|{_LETTER}*(?P<r>{_LETTER})(?P=r){{2,}}{_LETTER}*")
+WORDS, THRICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1\1"), re.compile(rf"[\w{_L}][.,\-_*]{{0,2}}")
+#: Parts whose hits a worker remembers.
+MEMORY = 400_000
 
 
 class CharacterModel:
@@ -61,7 +64,7 @@ class CharacterModel:
             nxt: dict[tuple[str, str], tuple[float, str]] = {}
             for (a, b), (score, text) in states.items():
                 moves = [((b, x), score + cost + self.log[where(a, 1) if a else 0, where(b, 1) if b else 0, where(x, 1)], text + x) for x, cost in options]
-                if not c.isalnum():
+                if not c.isalnum() and (c == "*" or c not in LEET):
                     moves.append(((a, b), score + DROP, text))
                 if b and any(x == b for x, _ in options):
                     moves.append(((a, b), score + REPEAT, text))
@@ -73,15 +76,9 @@ class CharacterModel:
         return max(ends)[1]
 
 
-def features(text: str | None, model: CharacterModel | None) -> set[str]:
-    """The distinct words of a text, those of its restored stretches, and the first four and five letters of each longer one."""
-    if not text:
-        return set()
-    low = text.lower()
-    words = set(WORDS.findall(low))
-    if model is not None:
-        for m in SUSPECT.finditer(low):
-            words.add(model.restore(m.group(0)))
+def features(text: str | None) -> set[str]:
+    """The distinct words of a text, and the first four and five letters of each longer one."""
+    words = set(WORDS.findall((text or "").lower()))
     out = {w for w in words if len(w) <= 40}
     out.update(["^" + w[:5] for w in words if len(w) > 5])
     out.update(["^" + w[:4] for w in words if len(w) > 4])
@@ -130,22 +127,69 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
 class Scorer:
     """Adds the weights of a text's features; a curve fitted on the labelled documents makes a score of the sum."""
 
-    def __init__(self, weights: dict[str, float], slope: float, shift: float):
-        self.weights, self.slope, self.shift = weights, slope, shift
+    def __init__(self, weights: dict[str, float], slope: float, shift: float, model: CharacterModel | None = None):
+        self.weights, self.slope, self.shift, self.model = weights, slope, shift, model
+        self.known: dict[str, tuple] = {}
 
-    def evidence(self, found: set[str]) -> float:
-        """The sum over words; a word counts by the weightiest of itself and its beginnings."""
-        own = self.weights
-        total: dict[str, float] = {}
-        for f in found & own.keys():
-            stem = f[1:5] if f[0] == "^" else f[:4]
-            total[stem] = max(total.get(stem, 0.0), own[f])
-        return sum(total.values())
+    def hits(self, words: Iterable[str]) -> dict[str, float]:
+        """By its first four letters, the weight of each word: the greatest among itself and its beginnings."""
+        own, out = self.weights, {}
+        for w in words:
+            best = max(own.get(w, 0.0) if len(w) <= 40 else 0.0, own.get("^" + w[:5], 0.0) if len(w) > 5 else 0.0, own.get("^" + w[:4], 0.0) if len(w) > 4 else 0.0)
+            if best:
+                out[w[:4]] = max(out.get(w[:4], 0.0), best)
+        return out
+
+    def evidence(self, found: Iterable[str]) -> float:
+        """The sum over words; those that begin alike count once."""
+        return sum(self.hits(f for f in found if f[0] != "^").values())
 
     def score(self, evidence: float) -> float:
         x = self.slope * evidence + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
+    def _part(self, part: str) -> tuple:
+        """The hits of a part, a stretch without spaces, read as it is and restored."""
+        core = part.rstrip(".,;:!?")
+        if core.isalpha() and not THRICE.search(core):
+            return tuple(self.hits((core,)).items())
+        words = WORDS.findall(part)
+        words += [self.model.restore(m.group(0)) for m in SUSPECT.finditer(part)]
+        return tuple(self.hits(words).items())
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The scores of several texts, whose distinct parts are looked at once."""
+        if not texts:
+            return []
+        index, offsets, parts = split([(x or "").lower() for x in texts])
+        if len(self.known) + len(parts) > MEMORY:
+            self.known.clear()
+        got = [self.known.get(x) for x in parts]
+        for i, x in enumerate(got):
+            if x is None:
+                got[i] = self.known[parts[i]] = self._part(parts[i])
+        found: dict[int, dict[str, float]] = {}
+
+        def add(doc: int, hits: Iterable[tuple[str, float]]) -> None:
+            own = found.setdefault(doc, {})
+            for stem, w in hits:
+                own[stem] = max(own.get(stem, 0.0), w)
+
+        at = np.flatnonzero(np.array([bool(x) for x in got])[index])
+        for doc, part in zip((np.searchsorted(offsets, at, side="right") - 1).tolist(), index[at].tolist(), strict=True):
+            add(doc, got[part])
+        # single characters with spaces between them stand in parts that follow each other
+        lone = np.array([0 < len(x) <= 3 and SINGLE.fullmatch(x) is not None for x in parts])[index]
+        edge = np.flatnonzero(np.diff(lone, prepend=False, append=False)).reshape(-1, 2)
+        for a, b in edge[edge[:, 1] - edge[:, 0] >= 4].tolist():
+            first, last = np.searchsorted(offsets, [a, b - 1], side="right") - 1
+            for doc in range(int(first), int(last) + 1):
+                i, j = max(a, int(offsets[doc])), min(b, int(offsets[doc + 1]))
+                if 4 <= j - i:
+                    run = [parts[k] for k in index[i:j].tolist()]
+                    add(doc, self.hits([self.model.restore(" ".join(run[k : k + 24])) for k in range(0, len(run), 24)]).items())
+        return [self.score(sum(found[i].values()) if i in found else 0.0) for i in range(len(texts))]
+
 
 def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple[dict[str, float], float, float]:
     """train (_id, text, toxic) -> weights, slope and shift.
@@ -159,7 +203,7 @@ def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple
         import xxhash
 
         for batch in parts(batches, "text"):
-            found = [sorted(features(x, None)) for x in batch["text"].to_pylist()]
+            found = [sorted(features(x)) for x in batch["text"].to_pylist()]
             keys = ["|".join(sorted((f for f in own if f[0] != "^"), key=lambda w: xxhash.xxh64_intdigest(w))[:2]) for own in found]
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "key", "found"])
 
@@ -224,9 +268,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        reader, scorer = CharacterModel(own["letters"], own["counts"]), Scorer(own["weights"], own["slope"], own["shift"])
+        scorer = Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"]))
         for batch in parts(batches, "text"):
-            got = [scorer.score(scorer.evidence(features(x, reader))) for x in batch["text"].to_pylist()]
+            got = scorer.scores(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
