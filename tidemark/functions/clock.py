@@ -98,8 +98,8 @@ def next_weekday(day: Column) -> Column:
 def business_days_before(day: Column, n: int) -> Column:
     """n weekdays before a day; holidays aren't known here."""
     weeks, rest = divmod(n, 5)
-    # a weekend day counts from the Friday before it, which is then the first of the n
-    start = F.when(F.weekday(day) >= 5, F.date_sub(day, F.weekday(day) - 5)).otherwise(day)
+    # from a weekend day as many lie before as from the Monday after it
+    start = F.when(F.weekday(day) >= 5, F.date_add(day, 7 - F.weekday(day))).otherwise(day)
     back = F.when(F.weekday(start) < rest, rest + 2).otherwise(rest)
     return F.date_sub(start, back + 7 * weeks)
 

@@ -60,7 +60,7 @@ def wilson(k: Column, n: Column, level: float = 0.95) -> tuple[Column, Column]:
     mid = p + z * z / (2 * n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
-    return F.greatest(F.lit(0.0), (mid - half) / scale), F.least(F.lit(1.0), (mid + half) / scale)
+    return F.when(n > 0, F.greatest(F.lit(0.0), (mid - half) / scale)), F.when(n > 0, F.least(F.lit(1.0), (mid + half) / scale))
 
 
 def _beta(a: float, b: float, x: float) -> float:

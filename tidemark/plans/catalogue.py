@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, quality, sessions, studies
+from . import features, market, quality, sessions, studies
 
 QUERIES, ORACLE_SQL = {}, {}
-for _part in (market, quality, sessions, studies):
+for _part in (market, quality, sessions, studies, features):
     QUERIES |= _part.C.queries
     ORACLE_SQL |= _part.C.sql
