@@ -7,16 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, parts, read, settle, small, written
+from .common import BROADCAST_ROWS, discard, parts, read, settle, small, written
 from .components import components
 
 SHINGLE, SIMILARITY = 4, 85  # words; hundredths
 #: Shingles in more documents than this are told apart by frequency, and so many of them at most: the sole broadcast that grows, up to this bound.
 COMMON, MOST_COMMON = 8, 1_500_000
 #: Bits of a shingle's hash that its frequency is counted by, and shingles that a task counts at once.
-COUNT_BITS, COUNT_AT_ONCE = 40, 4_000_000
+COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
 #: Rounds that compare each class with one partner, before all that is left is compared.
 STAR_ROUNDS = 2
 SEGMENT = 2 << 20
@@ -231,26 +232,31 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     """Per document (doc_id, n, s1, s2); per class of equal sets (n, s1, s2, cls, root), root the least of its component, and cls its least document; the verified links (a, b) of classes."""
     signed = written(prefixes(documents, frequencies(documents, k), k, similarity), "prefixes")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = linked.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.first("prefix").alias("prefix"))
-    # classes with the same prefix and size are one group
-    classes = classes.withColumns({"g1": F.xxhash64("prefix"), "g2": F.xxhash64("n", "prefix")})
-    classes = written(classes, "classes")
-    groups = classes.groupBy("g1", "g2").agg(F.min("cls").alias("grp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    posts = groups.select("grp", "n", F.posexplode("prefix").alias("place", "shingle"))
-    members = settle(classes.select("cls", "n", "g1", "g2").join(groups.select("g1", "g2", "grp", "members"), ["g1", "g2"]).where("members > 1").select("cls", "grp", "n"))
-
-    # only shingles that two groups hold go on
-    shared = F.count("*").alias("holders")
-    often = posts.groupBy("shingle").agg(shared).where("holders > 1").select("shingle")
-    posts = written(posts.join(often, "shingle"), "postings")
+    # classes with the same prefix and size are one group; only identifiers go through these shuffles, not prefixes
+    keyed = linked.select("doc_id", "n", "s1", "s2", F.xxhash64("prefix").alias("g1"), F.xxhash64("n", "prefix").alias("g2"))
+    classes = settle(keyed.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.first("g1").alias("g1"), F.first("g2").alias("g2")))
+    groups = settle(classes.groupBy("g1", "g2").agg(F.min("cls").alias("grp"), F.count("*").alias("members")))
+    members = settle(classes.select("cls", "n", "g1", "g2").join(small(groups.where("members > 1")), ["g1", "g2"]).select("cls", "grp", "n"))
+
+    first = F.broadcast if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    own = linked.withColumns({"g1": F.xxhash64("prefix"), "g2": F.xxhash64("n", "prefix")}).withColumnRenamed("doc_id", "grp")
+    own = own.join(first(groups.select("grp", "g1", "g2")), ["grp", "g1", "g2"])
+    posts = own.select("grp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    # only shingles that another group of a fitting size holds go on: sorted by size, a neighbour fits if any does
+    by_size = W.partitionBy("shingle").orderBy("n", "grp")
+    fits = lambda other: F.coalesce(_enough(F.least("n", other), F.col("n"), other, similarity), F.lit(False))
+    posts = posts.withColumns({"_before": F.lag("n").over(by_size), "_after": F.lead("n").over(by_size)})
+    posts = written(posts.where(fits(F.col("_before")) | fits(F.col("_after"))).select("shingle", "grp", "n", "place"), "postings")
     roots: DataFrame | None = None
     links: DataFrame | None = None
-    nodes = posts.select(F.col("grp").alias("cls")).union(members.select("cls")).distinct()
-    sets = written(_sets(documents, settle(nodes), k), "sets")
 
     def found(pairs: DataFrame) -> None:
         nonlocal roots, links
+        pairs = settle(pairs)
+        nodes = settle(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        sets = written(_sets(documents, nodes, k), "sets")
         new = settle(_verified(pairs, sets, similarity))
+        discard(sets)
         links = new if links is None else links.unionByName(new)
         forest = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(forest)
@@ -289,7 +295,8 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     both = both.where((F.coalesce("ra", F.lit(-1)) != F.coalesce("rb", F.lit(-2)))).select("a", "b")
     within = grouped.alias("x").join(grouped.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     left = rooted(rooted(both.union(within), "a", "ra"), "b", "rb").where("ra != rb").select("a", "b").distinct()
-    found(settle(left))
+    found(left)
+    discard(posts)
     classes = settle(rooted(classes.select("n", "s1", "s2", "cls"), "cls", "root"))
     return signed.select("doc_id", "n", "s1", "s2"), classes, links
 
