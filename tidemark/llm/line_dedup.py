@@ -15,10 +15,8 @@ SITES, WORDS, LG = 10, 5, 12
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(_id, _text, _site) -> _id, _hash, _pos, _site and two hashes of each line that has enough words. Lines are compared without white space at their ends."""
-    line = F.col("_line.col")
     each = docs.select("_id", F.xxhash64("_text").alias("_hash"), "_site", F.posexplode(F.split("_text", "\n")).alias("_pos", "_raw"))
     each = each.withColumn("_key", F.btrim("_raw", F.lit(" \t\r\x0b\x0c"))).where(F.regexp_count("_key", F.lit(WORD)) >= min_words)
-    del line
     return each.select("_id", "_hash", "_pos", "_site", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2"))
 
 
@@ -42,12 +40,13 @@ def boilerplate(documents: DataFrame, sites: int = SITES, min_words: int = WORDS
 def strip(documents: DataFrame, sites: int = SITES, min_words: int = WORDS, lg: int = LG) -> DataFrame:
     """documents (doc_id, text, source, ...) with text stripped of boilerplate lines and n_lines, n_removed added.
 
-    The first place of a boilerplate line, by doc_id and then position, keeps it. Lines of fewer words always stay, and so do all
+    The first place of a boilerplate line, by doc_id and then position, keeps it, so that no content is lost. Lines of fewer words always stay, and so do all
     in a document without an id. A null text has 0 lines and stays null; an empty one has 1. Equal rows are treated alike. Columns
     n_lines and n_removed of the input are replaced, the others kept.
     """
     found = settle(boilerplate(documents, sites, min_words, lg))
-    docs = documents.drop("n_lines", "n_removed").withColumn("_hash", F.xxhash64("text"))
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
+    docs = documents.select("doc_id", "text", F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in others]).alias("_rest"), F.xxhash64("text").alias("_hash"))
     slim = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("source").cast("string").alias("_site"))
     hits = _lines(slim.where(F.col("_id").isNotNull()), min_words).join(small(found), ["_h1", "_h2"])
     hits = hits.where(F.struct("_id", "_pos") != F.col("_first")).groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_drop"))
@@ -55,11 +54,10 @@ def strip(documents: DataFrame, sites: int = SITES, min_words: int = WORDS, lg:
     got = docs.join(small(hits), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_hash2")), "left")
     pieces = F.split("text", "\n")
     kept: Column = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    return got.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long"),
-        "n_removed": F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept),
-    }).drop("_hash", "_id", "_hash2", "_drop")
+    return got.select(
+        "doc_id", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept).alias("text"), *[F.col("_rest").getField(c).alias(c) for c in others],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long").alias("n_lines"), F.coalesce(F.array_size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

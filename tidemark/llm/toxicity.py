@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,9 @@ class Scorer:
         if core.isalpha() and not THRICE.search(core):
             return tuple(self.hits((core,)).items())
         words = WORDS.findall(part)
-        words += [self.model.restore(m.group(0)) for m in SUSPECT.finditer(part)]
+        for m in SUSPECT.finditer(part):
+            # a mark at the end may be a look-alike or just a mark
+            words += [self.model.restore(x) for x in {m.group(0), m.group(0).rstrip("!|*+(<#")} if x]
         return tuple(self.hits(words).items())
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -194,8 +197,8 @@ class Scorer:
 def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple[dict[str, float], float, float]:
     """train (_id, text, toxic) -> weights, slope and shift.
 
-    About `sample` rows of each label are used, chosen by a hash of the id. Rows whose two least words by hash are equal, as
-    near copies' are, count once. A feature gets its log odds as a weight if a likelihood-ratio test finds it in toxic rows more
+    About `sample` rows of each label are used, chosen by a hash of the id. Rows whose two least word pairs by hash are equal,
+    as near copies' are, count once. A feature gets its log odds as a weight if a likelihood-ratio test finds it in toxic rows more
     often than chance would explain among so many features.
     """
 
@@ -203,8 +206,12 @@ def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple
         import xxhash
 
         for batch in parts(batches, "text"):
-            found = [sorted(features(x)) for x in batch["text"].to_pylist()]
-            keys = ["|".join(sorted((f for f in own if f[0] != "^"), key=lambda w: xxhash.xxh64_intdigest(w))[:2]) for own in found]
+            found, keys = [], []
+            for text in batch["text"].to_pylist():
+                words = WORDS.findall((text or "").lower())
+                found.append(sorted(features(text)))
+                pairs = {xxhash.xxh64_hexdigest(f"{a} {b}") for a, b in pairwise(words)}
+                keys.append("|".join(sorted(pairs or words)[:2]))
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "key", "found"])
 
     rows = settle(train.select("toxic", "text").mapInArrow(emit, "toxic int, key string, found array<string>").groupBy("toxic", "key").agg(F.first("found").alias("found")))
