@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ SHINGLE, SIMILARITY = 4, 85  # words; hundredths
 COMMON, MOST_COMMON = 8, 1_500_000
 #: Bits of a shingle's hash that its frequency is counted by, and shingles that a task counts at once.
 COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
-#: Rounds that compare each class with one partner, before all that is left is compared.
-STAR_ROUNDS = 2
+#: Round by round, how many groups ahead in a shingle's order each meets, and partners that a group is compared with at most, before
+#: all that may still join two components is compared. Rounds after the first look at shingles of components with LARGE members.
+AHEAD, PARTNERS, LARGE = (1, 12, 16), (6, 64, 96), 8
 SEGMENT = 2 << 20
 
 _U = np.uint64
@@ -267,13 +269,21 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
         own = small(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")))
         return df.join(own, F.col(key) == F.col("_node"), "left").withColumn(out, F.coalesce("_root", key)).drop("_node", "_root")
 
-    for turn in range(STAR_ROUNDS):
+    for turn, most in enumerate(PARTNERS):
         own = rooted(posts, "grp", "root")
-        # a shingle's pivot: its smallest set, then by a hash that differs each round
-        pivot = own.groupBy("shingle").agg(F.min(F.struct("n", F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", "place", "root")).alias("z"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("shingle", "z")
-        cand = own.join(pivot, "shingle").where((F.col("root") != F.col("z.root")) & _fits(F.col("n"), F.col("z.n"), F.col("place"), F.col("z.place"), similarity))
-        cand = cand.groupBy("grp", F.col("z.grp").alias("other")).agg(F.count("*").alias("c"))
-        cand = cand.groupBy("grp").agg(F.max_by("other", F.struct("c", "other")).alias("other")).select(F.col("other").alias("a"), F.col("grp").alias("b"))
+        if roots is not None:
+            large = settle(roots.groupBy("root").count().where(F.col("count") >= LARGE).select(F.col("root").alias("_large")))
+            held = own.join(small(large), F.col("root") == F.col("_large")).select("shingle").distinct()
+            own = own.join(held, "shingle", "left_semi")
+        # in an order that differs by shingle and round, each group meets the next ones of about its size
+        step = F.floor(F.log("n") / math.log(100 / similarity) + turn / len(PARTNERS))
+        ring = W.partitionBy("shingle", step).orderBy(F.xxhash64("grp", "shingle", F.lit(turn)))
+        ahead = [F.lead(F.struct("grp", "n", "place", "root"), i + 1).over(ring) for i in range(AHEAD[turn])]
+        cand = own.withColumn("_z", F.array(*ahead)).withColumn("z", F.explode("_z"))
+        cand = cand.where((F.col("root") != F.col("z.root")) & _fits(F.col("n"), F.col("z.n"), F.col("place"), F.col("z.place"), similarity))
+        cand = cand.groupBy(F.least("grp", "z.grp").alias("a"), F.greatest("grp", "z.grp").alias("b")).agg(F.count("*").alias("c"))
+        best = W.partitionBy("b").orderBy(F.col("c").desc(), F.xxhash64("a", F.lit(turn)))
+        cand = cand.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("a", "b")
         inside = rooted(members, "cls", "root").where(F.col("cls") != F.col("grp"))
         if turn == 0:
             cand = cand.union(inside.select(F.col("grp").alias("a"), F.col("cls").alias("b")))
