@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -17,7 +18,11 @@ from .chunks import split
 from .common import held_out, parts, read, settle
 
 #: Labelled documents of each class (expected number) that weights are learned from, and features that a model may have.
-SAMPLE, FEATURES = 10_000, 20_000
+SAMPLE, FEATURES = 5_000, 20_000
+#: Lengths of the beginnings of longer words that are features too, as insults have endings.
+STEMS = (4, 5, 6, 7)
+#: The least weight of a feature as a part of the greatest one.
+CLEAR = 0.6
 #: Letters that the character model knows by themselves: the most frequent ones; the others are one class.
 ALPHABET = 60
 #: What the channel may have made of a letter. The usual look-alikes.
@@ -77,13 +82,14 @@ class CharacterModel:
         return max(ends)[1]
 
 
+def features_of(word: str) -> list[str]:
+    """A word, unless it is very long, and its beginnings."""
+    return ([word] if len(word) <= 40 else []) + ["^" + word[:n] for n in STEMS if len(word) > n]
+
+
 def features(text: str | None) -> set[str]:
-    """The distinct words of a text, and the first four and five letters of each longer one."""
-    words = set(WORDS.findall((text or "").lower()))
-    out = {w for w in words if len(w) <= 40}
-    out.update(["^" + w[:5] for w in words if len(w) > 5])
-    out.update(["^" + w[:4] for w in words if len(w) > 4])
-    return out
+    """The features of all words of a text."""
+    return {f for w in set(WORDS.findall((text or "").lower())) for f in features_of(w)}
 
 
 def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
@@ -132,18 +138,11 @@ class Scorer:
         self.weights, self.slope, self.shift, self.model = weights, slope, shift, model
         self.known: dict[str, tuple] = {}
 
-    def hits(self, words: Iterable[str]) -> dict[str, float]:
-        """By its first four letters, the weight of each word: the greatest among itself and its beginnings."""
-        own, out = self.weights, {}
-        for w in words:
-            best = max(own.get(w, 0.0) if len(w) <= 40 else 0.0, own.get("^" + w[:5], 0.0) if len(w) > 5 else 0.0, own.get("^" + w[:4], 0.0) if len(w) > 4 else 0.0)
-            if best:
-                out[w[:4]] = max(out.get(w[:4], 0.0), best)
-        return out
-
-    def evidence(self, found: Iterable[str]) -> float:
-        """The sum over words; those that begin alike count once."""
-        return sum(self.hits(f for f in found if f[0] != "^").values())
+    def hits(self, words: Iterable[str]) -> list[tuple[str, float]]:
+        """Words with a weight, the greatest among those of their features."""
+        own = self.weights
+        found = [(w, max(own.get(f, 0.0) for f in features_of(w))) for w in words if w]
+        return [x for x in found if x[1]]
 
     def score(self, evidence: float) -> float:
         x = self.slope * evidence + self.shift
@@ -153,15 +152,15 @@ class Scorer:
         """The hits of a part, a stretch without spaces, read as it is and restored."""
         core = part.rstrip(".,;:!?")
         if core.isalpha() and not THRICE.search(core):
-            return tuple(self.hits((core,)).items())
+            return tuple(self.hits((core,)))
         words = WORDS.findall(part)
         for m in SUSPECT.finditer(part):
             # a mark at the end may be a look-alike or just a mark
             words += [self.model.restore(x) for x in {m.group(0), m.group(0).rstrip("!|*+(<#")} if x]
-        return tuple(self.hits(words).items())
+        return tuple(self.hits(words))
 
-    def scores(self, texts: list[str | None]) -> list[float]:
-        """The scores of several texts, whose distinct parts are looked at once."""
+    def evidence(self, texts: list[str | None]) -> list[float]:
+        """For each text the sum of its words' weights; a word counts up to twice. The distinct parts of the texts are looked at once."""
         if not texts:
             return []
         index, offsets, parts = split([(x or "").lower() for x in texts])
@@ -171,12 +170,12 @@ class Scorer:
         for i, x in enumerate(got):
             if x is None:
                 got[i] = self.known[parts[i]] = self._part(parts[i])
-        found: dict[int, dict[str, float]] = {}
+        found: dict[int, Counter] = {}
+        weight: dict[str, float] = {}
 
         def add(doc: int, hits: Iterable[tuple[str, float]]) -> None:
-            own = found.setdefault(doc, {})
-            for stem, w in hits:
-                own[stem] = max(own.get(stem, 0.0), w)
+            weight.update(hits)
+            found.setdefault(doc, Counter()).update(w for w, _ in hits)
 
         at = np.flatnonzero(np.array([bool(x) for x in got])[index])
         for doc, part in zip((np.searchsorted(offsets, at, side="right") - 1).tolist(), index[at].tolist(), strict=True):
@@ -190,16 +189,15 @@ class Scorer:
                 i, j = max(a, int(offsets[doc])), min(b, int(offsets[doc + 1]))
                 if 4 <= j - i:
                     run = [parts[k] for k in index[i:j].tolist()]
-                    add(doc, self.hits([self.model.restore(" ".join(run[k : k + 24])) for k in range(0, len(run), 24)]).items())
-        return [self.score(sum(found[i].values()) if i in found else 0.0) for i in range(len(texts))]
+                    add(doc, self.hits([self.model.restore(" ".join(run[k : k + 24])) for k in range(0, len(run), 24)]))
+        return [sum(weight[w] * min(n, 2) for w, n in found[i].items()) if i in found else 0.0 for i in range(len(texts))]
 
 
-def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple[dict[str, float], float, float]:
+def learn(train: DataFrame, letters: str, counts: dict[int, int], most: int = FEATURES) -> tuple[dict[str, float], float, float]:
     """train (_id, text, toxic) -> weights, slope and shift.
 
-    About `sample` rows of each label are used, chosen by a hash of the id. Rows whose two least word pairs by hash are equal,
-    as near copies' are, count once. A feature gets its log odds as a weight if a likelihood-ratio test finds it in toxic rows more
-    often than chance would explain among so many features.
+    Rows whose two least word pairs by hash are equal, as near copies' are, count once. A feature gets its log odds as a weight
+    if a likelihood-ratio test finds it in toxic rows more often than chance would explain among so many features.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +227,16 @@ def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple
     odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
     best = each.where((a * n0 > b * n1) & (ratio >= 1.6 * math.log(kinds))).select("f", odds.alias("w"), ratio.alias("g")).where("w >= 2")
     weights = {r["f"]: r["w"] for r in best.orderBy(F.col("g").desc(), "f").limit(most).collect()}
-    scorer = Scorer(weights, 1.0, 0.0)
+    # words of a few toxic texts' copies and beginnings that clean words have too weigh much less than insults do
+    weights = {f: w for f, w in weights.items() if w >= CLEAR * max(weights.values())}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [round(scorer.evidence(set(x or ())), 1) for x in batch["found"].to_pylist()]
+        scorer = Scorer(weights, 1.0, 0.0, CharacterModel(letters, counts))
+        for batch in parts(batches, "text"):
+            got = [round(x, 1) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(got, pa.float64())], names=["toxic", "e"])
 
-    seen = rows.select("toxic", "found").mapInArrow(weigh, "toxic int, e double").groupBy("e").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
+    seen = train.select("toxic", "text").mapInArrow(weigh, "toxic int, e double").groupBy("e").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
     e, hit, total = (np.array([float(r[k]) for r in seen]) for k in ("e", "a", "n"))
     slope, shift = 0.5, -2.0
     for _ in range(60):  # Newton's steps for a logistic curve, held back by a prior
@@ -250,7 +250,7 @@ def learn(train: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> tuple
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The sampled labelled rows outside the held-out part: _id, text, toxic. Only the sampled labels, a bounded number, are broadcast."""
+    """Labelled rows outside the held-out part, about `sample` of each label, chosen by a hash of the id: _id, text, toxic. Only the sampled labels, a bounded number, are broadcast."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, n.get(1, 0)))).otherwise(min(1.0, sample / max(1, n.get(0, 0))))
@@ -264,7 +264,7 @@ class Model:
 
     def __init__(self, documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         self.letters, self.counts = letter_counts(documents)
-        self.weights, self.slope, self.shift = learn(training_rows(documents, labels, sample), sample)
+        self.weights, self.slope, self.shift = learn(training_rows(documents, labels, sample), self.letters, self.counts)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -277,7 +277,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         own = known.value
         scorer = Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"]))
         for batch in parts(batches, "text"):
-            got = scorer.scores(batch["text"].to_pylist())
+            got = [scorer.score(x) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
