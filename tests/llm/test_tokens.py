@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 import zlib
 from pathlib import Path
 
@@ -150,7 +151,7 @@ def test_op7_query(spark):
 
 
 def test_op7_many_shards_and_odd_rows(spark, odd, empty):
-    out = f"{shared_dir(spark)}/many"
+    out = f"{shared_dir(spark)}/many-{uuid.uuid4().hex}"
     df = texts(spark, [(i, f"text number {i} " * 30, "a") for i in range(-300, 300)])
     shards = sstable.write(df, out, shard=20_000)
     got = sstable.digests(spark, out, shards).orderBy("doc_id").collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
-from .common import parts, read
+from .common import kept, parts, read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words of more bytes are merged by a heap, one by one.
@@ -145,7 +145,7 @@ def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokeni
     known = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, pieces = _worker(known.value, pattern)
+        merges, pieces = kept("bpe", (path, pattern, len(known.value)), lambda: _worker(known.value, pattern))
         decimal = [str(i) for i in range(len(merges.pieces))]
         for batch in parts(batches, "text"):
             rows: list[tuple] = []

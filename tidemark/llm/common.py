@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Words are runs of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -73,6 +76,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_kept: dict[str, tuple[object, object]] = {}
+
+
+def kept(kind: str, key: object, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in this Python worker for its later tasks: the last one of each kind."""
+    if kind not in _kept or _kept[kind][0] != key:
+        _kept.pop(kind, None)
+        _kept[kind] = (key, make())
+    return _kept[kind][1]
+
+
 def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part has about `most` bytes of text in the column, and one row at least."""
     for batch in batches:

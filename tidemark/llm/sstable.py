@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
-from .common import parts, read, shared_dir, small
+from .common import kept, parts, read, shared_dir, small
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -156,7 +156,9 @@ def _library(text: str, pattern: str) -> Pieces:
             out += [array(code, x.ids).tobytes() for x in tokenizer.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False)]
         return out
 
-    return Pieces(pattern, encode)
+    pieces = Pieces(pattern, encode)
+    pieces.width = array(code).itemsize
+    return pieces
 
 
 def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END, shard: int = SHARD, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -171,8 +173,8 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
         model = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, store = _library(model.value, pattern), None
-        wide = 2 if '"model"' in model.value and len(pieces.encode(["a"])[0]) == 2 else 4
+        pieces, store = kept("library", (len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: _library(model.value, pattern)), None
+        wide = pieces.width
         task, rows, n = TaskContext.get(), [], 0
         now, first, last = Writer(wide), None, None
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chunks import split
-from .common import held_out, parts, read, settle
+from .common import held_out, kept, parts, read, settle
 
 #: Labelled documents of each class (expected number) that weights are learned from, and features that a model may have.
 SAMPLE, FEATURES = 5_000, 20_000
@@ -275,7 +276,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        scorer = Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"]))
+        key = zlib.crc32(repr(sorted(own.items(), key=str)).encode())
+        scorer = kept("toxicity", key, lambda: Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"])))
         for batch in parts(batches, "text"):
             got = [scorer.score(x) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
