@@ -60,6 +60,12 @@ def test_long_words_by_heap():
         assert MERGES._long(w).tolist() == MERGES._fold([w], -(-len(w) // 4) * 4)[0].tolist()
 
 
+def test_fold_in_plan_equals_the_library(spark):
+    words = [" thntion", "idiot", " é", "日本", "a", "", " internationalization", "zzzzzzzzqqqq", " 12345", "!!??"]
+    got = {r["word"]: list(r["ids"]) for r in bpe.fold_in_plan(spark.createDataFrame([(w,) for w in words], "word string"), RANKS).collect()}
+    assert got == {w: TIK.encode_ordinary(w) for w in words}
+
+
 def test_op6_rows(spark, odd, empty):
     for row in bpe.encode(odd, ids=False).collect():
         assert len(row["ids_sha256"]) == 64

@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
@@ -130,6 +132,40 @@ class Merges:
         return [x.astype(self.dtype).tobytes() for x in self.fold([w.encode("utf-8") for w in words])]
 
 
+def rank_literal(ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
+    """The ranks as one literal: a hash table of (piece, rank), as a map's look-up goes through all its keys."""
+    table: list[list[dict]] = [[] for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        table[zlib.crc32(piece) % buckets].append({"k": base64.b64encode(piece).decode(), "r": rank})
+    return F.from_json(F.lit(json.dumps(table)), "array<array<struct<k:binary,r:int>>>")
+
+
+def fold_in_plan(words: DataFrame, ranks: dict[bytes, int], column: str = "word") -> DataFrame:
+    """Distinct words with `ids`, by higher-order functions only.
+
+    A word's bytes are folded: each step joins the adjacent pair of the least rank, the first of equals, until no pair has one. This
+    is the plain form of Merges.fold, at about ten times its cost (the README has the figures), so `encode`, which must fold millions,
+    does the same fold side by side in arrays.
+    """
+    table, n = rank_literal(ranks), 1 << 15
+    words = words.withColumn("_table", table).withColumn("_b", F.col(column).cast("binary"))
+    rank = lambda piece: F.try_element_at(F.filter(F.element_at("_table", (F.crc32(piece) % n + 1).cast("int")), lambda e: e["k"] == piece), F.lit(1))["r"]
+    first = F.transform(F.sequence(F.lit(1), F.octet_length("_b")), lambda i: F.substr("_b", i, F.lit(1)))
+
+    def given(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)  # the value is made once
+
+    def step(acc: Column, _: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(acc) - 1), lambda i: rank(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))))
+        join = lambda at: F.concat(F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.element_at(acc, at), F.element_at(acc, at + 1))), F.slice(acc, at + 2, F.size(acc)))
+        place = lambda f: F.coalesce(F.array_position(f, F.array_min(f)), F.lit(0)).cast("int")
+        return F.when(F.size(acc) < 2, acc).otherwise(given(found, lambda f: given(place(f), lambda at: F.when(at < 1, acc).otherwise(join(at)))))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("_b") - 1))
+    folded = F.when(F.octet_length("_b") == 0, F.array().cast("array<binary>")).when(rank(F.col("_b")).isNotNull(), F.array("_b")).otherwise(F.aggregate(steps, first, step))
+    return words.withColumn("_p", folded).withColumn("ids", F.transform("_p", rank)).drop("_table", "_b", "_p")
+
+
 def _worker(ranks: dict[bytes, int], pattern: str) -> tuple[Merges, Pieces]:
     merges = Merges(ranks)
     return merges, Pieces(pattern, merges.encode)
@@ -145,7 +181,7 @@ def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokeni
     known = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, pieces = kept("bpe", (path, pattern, len(known.value)), lambda: _worker(known.value, pattern))
+        merges, pieces = kept(("bpe", path, pattern, len(known.value)), lambda: _worker(known.value, pattern))
         decimal = [str(i) for i in range(len(merges.pieces))]
         for batch in parts(batches, "text"):
             rows: list[tuple] = []

@@ -27,7 +27,7 @@ class Pieces:
     that would pass `most` entries keeps what the texts at hand use.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = 700_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = 500_000):
         self.find, self.encode, self.most = regex.compile(spelt(pattern)).findall, encode, most
         self.words: dict[str, bytes] = {}  # by match
         self.later: dict[str, bytes] = {}  # by part of letters, without the space before it

@@ -76,18 +76,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-_kept: dict[str, tuple[object, object]] = {}
+_kept: list = [None, None]
 
 
-def kept(kind: str, key: object, make: Callable[[], T]) -> T:
-    """What `make` gives, kept in this Python worker for its later tasks: the last one of each kind."""
-    if kind not in _kept or _kept[kind][0] != key:
-        _kept.pop(kind, None)
-        _kept[kind] = (key, make())
-    return _kept[kind][1]
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in this Python worker for its later tasks: one thing at a time, so that stages' memories don't add up."""
+    if _kept[0] != key:
+        _kept[:] = [None, None]
+        _kept[:] = [key, make()]
+    return _kept[1]
 
 
-def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part has about `most` bytes of text in the column, and one row at least."""
     for batch in batches:
         size = pc.binary_length(batch[column].cast(pa.large_binary())).to_pylist()
@@ -99,3 +99,4 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -
             total += n or 0
         if at < len(size):
             yield batch.slice(at)
+    pa.default_memory_pool().release_unused()

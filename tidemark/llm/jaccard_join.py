@@ -22,7 +22,7 @@ COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
 #: Round by round, how many groups ahead in a shingle's order each meets, and partners that a group is compared with at most, before
 #: all that may still join two components is compared. Rounds after the first look at shingles of components with LARGE members.
 AHEAD, PARTNERS, LARGE = (1, 12, 16), (6, 64, 96), 8
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 _U = np.uint64
 _STEP, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -173,7 +173,7 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
         model = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, store = kept("library", (len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: _library(model.value, pattern)), None
+        pieces, store = kept(("library", len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: _library(model.value, pattern)), None
         wide = pieces.width
         task, rows, n = TaskContext.get(), [], 0
         now, first, last = Writer(wide), None, None

@@ -154,7 +154,7 @@ def count_tokens(documents: DataFrame, path: str = MODEL) -> DataFrame:
     vocab = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = kept("unigram", (path, len(vocab.value)), lambda: Counter(vocab.value))
+        count = kept(("unigram", path, len(vocab.value)), lambda: Counter(vocab.value))
         for batch in parts(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count(batch["text"].to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -39,7 +39,7 @@ _LETTER = r"[^\W\d_]"
 SUSPECT = re.compile(rf"(?<![\w{_L}])(?=[\w{_L}]*{_LETTER})(?=[^\W\d_]*[{_L}])[\w{_L}]{{3,24}}|(?<!\w)(?:[\w{_L}][.\-_*]{{1,2}}){{3,23}}[\w{_L}](?!\w)|{_LETTER}*(?P<r>{_LETTER})(?P=r){{2,}}{_LETTER}*")
 WORDS, THRICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1\1"), re.compile(rf"[\w{_L}][.,\-_*]{{0,2}}")
 #: Parts whose hits a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 class CharacterModel:
@@ -98,7 +98,7 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", 1 << 20):
             at = np.frombuffer("".join(x or "" for x in batch["text"].to_pylist()).lower().encode("utf-32-le", "replace"), np.uint32)
             total += np.bincount(at, minlength=0x110000)
         own = [i for i in np.flatnonzero(total).tolist() if chr(i).isalpha()]
@@ -115,7 +115,7 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
         for i, c in enumerate(letters):
             place[ord(c)] = i + 2
         total = np.zeros(base**3, np.int64)
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", 1 << 20):
             joined = "\n".join(x or "" for x in batch["text"].to_pylist()).lower()
             c = place[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
             c = np.concatenate(([0, 0], c, [0]))
@@ -277,7 +277,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
         key = zlib.crc32(repr(sorted(own.items(), key=str)).encode())
-        scorer = kept("toxicity", key, lambda: Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"])))
+        scorer = kept(("toxicity", key), lambda: Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"])))
         for batch in parts(batches, "text"):
             got = [scorer.score(x) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
