@@ -41,9 +41,9 @@ def repetitions(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
     """docs (doc_id, size, source, ...) with source_size, target and reps, the times that a document is taken.
 
     Each document is taken target // source_size times. The rest of the target goes to documents by the order of
-    md5(seed:doc_id) until the nearest document boundary, so a source ends within half a document of its target. To find
-    that boundary without sorting a source in one task, sizes are summed by bucket of the order first; only the bucket
-    with the boundary in it is sorted.
+    md5(seed:doc_id) as long as they fit, and then to the other document whose size is nearest to what is left, if that
+    brings the source nearer to its target. To find where the order stops without sorting a source in one task, sizes are summed by bucket of the
+    order first; only the bucket with that place in it is sorted.
     """
     targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
@@ -58,10 +58,16 @@ def repetitions(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
     cut = F.col("_cut._bucket")
     sure = both.where(F.coalesce(F.col("_bucket") != cut, F.lit(True))).withColumn("reps", F.col("_whole") + F.when(cut.isNull() | (F.col("_bucket") < cut), 1).otherwise(0))
     before = F.coalesce(F.sum("size").over(W.partitionBy("_source").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("_cut.start")
-    edge = both.where(F.col("_bucket") == cut).withColumn("_before", before).withColumn("reps", F.col("_whole") + F.when(F.col("_before") + F.col("size") / 2.0 <= F.col("_rest"), 1).otherwise(0)).drop("_before")
-    every = sure.unionByName(edge)
+    edge = both.where(F.col("_bucket") == cut).withColumn("_before", before).withColumn("reps", F.col("_whole") + F.when(F.col("_before") + F.col("size") <= F.col("_rest"), 1).otherwise(0)).drop("_before")
     # A source that stands at its cap has no fractional repetition.
-    return every.withColumn("reps", F.least(F.col("reps"), F.when(F.col("_rest") > 0, F.col("_whole") + 1).otherwise(F.col("_whole")))).drop("_source", "_whole", "_rest", "_cut", "_key", "_bucket")
+    every = sure.unionByName(edge).withColumn("reps", F.least(F.col("reps"), F.when(F.col("_rest") > 0, F.col("_whole") + 1).otherwise(F.col("_whole"))))
+    every = settle(every.drop("_source", "_cut", "_bucket"))
+    left = every.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("reps"))).alias("_left")).withColumnRenamed("source", "_source")
+    spare = every.where((F.col("_rest") > 0) & (F.col("reps") == F.col("_whole")) & (F.col("size") > 0)).join(small(settle(left), 100_000), F.col("source").eqNullSafe(F.col("_source"))).where("size < 2 * _left")
+    last = spare.groupBy("source").agg(F.min_by(F.struct("_key", "size"), F.struct(F.abs(F.col("_left") - F.col("size")), "_key", "size")).alias("_last")).select(F.col("source").alias("_source"), F.col("_last._key").alias("_k"), F.col("_last.size").alias("_s"))
+    fits = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_k")) & (F.col("size") == F.col("_s"))
+    every = every.join(small(settle(last), 100_000), fits, "left").withColumn("reps", F.col("reps") + F.when(F.col("_k").isNotNull() & (F.col("reps") == F.col("_whole")), 1).otherwise(0))
+    return every.drop("_source", "_whole", "_rest", "_key", "_k", "_s")
 
 
 def n_words(text: Column) -> Column:
@@ -104,8 +110,10 @@ p AS (
 o AS (
   SELECT d.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN rest > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken, source
-FROM o
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+q AS (SELECT *, whole + CASE WHEN rest > 0 AND before + size <= rest THEN 1 ELSE 0 END AS reps FROM o),
+z AS (SELECT *, target - sum(size * reps) OVER (PARTITION BY source) AS room FROM q),
+f AS (SELECT *, CASE WHEN rest > 0 AND reps = whole AND size > 0 AND size < 2 * room THEN rank() OVER (PARTITION BY source, rest > 0 AND reps = whole AND size > 0 AND size < 2 * room ORDER BY abs(room - size), k, size) END AS place FROM z)
+SELECT doc_id, size, source_size, target, (size * (reps + CASE WHEN place = 1 THEN 1 ELSE 0 END))::BIGINT AS taken, source
+FROM f
 """
