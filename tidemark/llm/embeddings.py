@@ -13,11 +13,11 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import read, settle, small, written
 from .components import components, forest
 
-COSINE, RECALL = 0.95, 0.99
+COSINE, RECALL = 0.95, 0.995
 #: Rows that codebooks are fitted on (expected number), rows that the traversal's length is measured with, and vectors that a cell has on average.
-SAMPLE, PROBED, FILL = 20_000, 300, 12
+SAMPLE, PROBED, FILL = 20_000, 400, 12
 #: Codes of a half at most, rounds of fitting, cells that a vector visits at least, and rows of a block.
-CODES, ROUNDS, LEAST, BLOCK = 1024, 8, 4, 1024
+CODES, ROUNDS, LEAST, BLOCK = 1024, 8, 12, 1024
 
 
 def _codes(x: np.ndarray, k: int) -> np.ndarray:
@@ -88,7 +88,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _visits(classes: DataFrame, index: MultiIndex, probed: np.ndarray, ids: np.ndarray, cosine: float, recall: float) -> int:
-    """The number of cells to visit so that the given rows find `recall` of their true partners among all rows."""
+    """Twice the number of cells to visit so that the given rows find `recall` of their true partners among all rows."""
     known = classes.sparkSession.sparkContext.broadcast((index, probed, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def _visits(classes: DataFrame, index: MultiIndex, probed: np.ndarray, ids: np.n
     for r, n in found:
         seen += n
         if seen >= need:
-            return max(LEAST, r + 1)
+            return max(LEAST, 2 * (r + 1))
     return 2 * LEAST
 
 
