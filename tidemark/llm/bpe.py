@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
-from .common import kept, parts, read
+from .common import kept, modest, parts, read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words of more bytes are merged by a heap, one by one.
@@ -178,7 +178,7 @@ def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokeni
     text is an empty one: no ids. Equal rows give equal rows. Special tokens' strings are ordinary text. With ids=False: n_tokens,
     ids_sha256 and decoded_sha256 in place of the arrays. The vocabulary, 50 thousand entries, is what is broadcast.
     """
-    known = documents.sparkSession.sparkContext.broadcast(load_ranks(path))
+    known = modest(documents).sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, pieces = kept(("bpe", path, pattern, len(known.value)), lambda: _worker(known.value, pattern))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +20,9 @@ T = TypeVar("T")
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows that go to Python at once at most.
+ROWS, BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Rows up to which a side whose rows are a few numbers may be broadcast; it is counted first.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,6 +81,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def modest(df: DataFrame) -> DataFrame:
+    """df; its session from now on sends Python at most ROWS rows at once, as texts may be long and both sides hold what is sent."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH)) > ROWS or int(conf.get(BATCH)) <= 0:
+        conf.set(BATCH, ROWS)
+    return df
+
+
+def tidy() -> None:
+    """Gives what a task no longer needs back to the system, since a worker waits for the next task with it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _kept: list = [None, None]
 
 
@@ -99,4 +119,4 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -
             total += n or 0
         if at < len(size):
             yield batch.slice(at)
-    pa.default_memory_pool().release_unused()
+    tidy()

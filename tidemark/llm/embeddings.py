@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import read, settle, small, written
+from .common import modest, read, settle, small, written
 from .components import components, forest
 
 COSINE, RECALL = 0.95, 0.995
@@ -194,7 +194,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     Vectors that are null, zero, hold a null or a component that isn't finite, or have another length than most, link with
     nothing; so do rows without an id, whose component is null. Rows with equal ids count as often as they occur.
     """
-    spark = vectors.sparkSession
+    spark = modest(vectors).sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("fine", fine)

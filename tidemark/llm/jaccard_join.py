@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, parts, read, settle, small, written
+from .common import BROADCAST_ROWS, discard, modest, parts, read, settle, small, written
 from .components import components
 
 SHINGLE, SIMILARITY = 4, 85  # words; hundredths
@@ -232,7 +232,7 @@ def _fits(n1: Column, n2: Column, p1: Column, p2: Column, similarity: int) -> Co
 
 def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per document (doc_id, n, s1, s2); per class of equal sets (n, s1, s2, cls, root), root the least of its component, and cls its least document; the verified links (a, b) of classes."""
-    signed = written(prefixes(documents, frequencies(documents, k), k, similarity), "prefixes")
+    signed = written(prefixes(modest(documents), frequencies(documents, k), k, similarity), "prefixes")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
     # classes with the same prefix and size are one group; only identifiers go through these shuffles, not prefixes
     keyed = linked.select("doc_id", "n", "s1", "s2", F.xxhash64("prefix").alias("g1"), F.xxhash64("n", "prefix").alias("g2"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, parts, read
+from .common import held_out, modest, parts, read
 
 #: n-grams that a profile ranks, and documents of each language (expected number) that profiles are learned from.
 TOP, SAMPLE = 300, 1500
@@ -66,7 +66,7 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, n
     Learns from about `sample` documents of each language, chosen by a hash of the id. From each, its 4 * top most
     frequent n-grams count.
     """
-    train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = modest(train).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = train.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("_share"))
     some = train.join(F.broadcast(share.limit(10_000)), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003)
     counts = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -99,7 +99,7 @@ class Profiles:
 
 def identify(documents: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
     """documents (doc_id, text) -> doc_id, lang_pred, score. Null texts and texts without letters get und and 0. Rows stay as they are repeated; other columns are ignored."""
-    known = documents.sparkSession.sparkContext.broadcast({k: v.tolist() for k, v in profiles.items()})
+    known = modest(documents).sparkSession.sparkContext.broadcast({k: v.tolist() for k, v in profiles.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles({k: np.array(v, np.uint64) for k, v in known.value.items()}, top)

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
-from .common import kept, parts, read, shared_dir, small
+from .common import kept, modest, parts, read, shared_dir, small
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -170,7 +170,7 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
     The library gets each distinct match of its pattern; whole texts give the same ids.
     """
     with open(path, encoding="utf-8") as f:
-        model = documents.sparkSession.sparkContext.broadcast(f.read())
+        model = modest(documents).sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, store = kept(("library", len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: _library(model.value, pattern)), None

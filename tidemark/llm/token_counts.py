@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import split
-from .common import kept, parts, read
+from .common import kept, modest, parts, read
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -151,7 +151,7 @@ class Counter:
 
 def count_tokens(documents: DataFrame, path: str = MODEL) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_tokens. Null and empty texts have 0. Rows stay as they are repeated; other columns are ignored."""
-    vocab = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
+    vocab = modest(documents).sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = kept(("unigram", path, len(vocab.value)), lambda: Counter(vocab.value))

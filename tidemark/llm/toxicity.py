@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chunks import split
-from .common import held_out, kept, parts, read, settle
+from .common import held_out, kept, modest, parts, read, settle
 
 #: Labelled documents of each class (expected number) that weights are learned from, and features that a model may have.
 SAMPLE, FEATURES = 5_000, 20_000
@@ -42,15 +42,19 @@ WORDS, THRICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1\1"), re.c
 MEMORY = 250_000
 
 
+def arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(counts, np.int32), np.fromiter(counts.values(), np.float64)
+
+
 class CharacterModel:
     """Trigrams of letters with word ends, from counts by key (three places to the base of ALPHABET + 3)."""
 
-    def __init__(self, letters: str, counts: dict[int, int]):
+    def __init__(self, letters: str, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]):
         self.base = ALPHABET + 3
         self.place = {c: i + 2 for i, c in enumerate(letters)}  # 0: a word's end, 1: any other letter
         three = np.full(self.base**3, 0.02)
-        if counts:
-            three[np.fromiter(counts, np.int64)] += np.fromiter(counts.values(), np.float64)
+        keys, n = arrays(counts) if isinstance(counts, dict) else counts
+        three[keys] += n
         three = three.reshape((self.base,) * 3)
         two = three.sum(axis=0)
         one = two.sum(axis=0)
@@ -104,7 +108,7 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
         own = [i for i in np.flatnonzero(total).tolist() if chr(i).isalpha()]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], names=["c", "n"])
 
-    text = documents.select("text")
+    text = modest(documents).select("text")
     best = text.mapInArrow(singles, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(ALPHABET).collect()
     letters = "".join(chr(r["c"]) for r in best)
     base = ALPHABET + 3
@@ -213,7 +217,7 @@ def learn(train: DataFrame, letters: str, counts: dict[int, int], most: int = FE
                 keys.append("|".join(sorted(pairs or words)[:2]))
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array(keys, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "key", "found"])
 
-    rows = settle(train.select("toxic", "text").mapInArrow(emit, "toxic int, key string, found array<string>").groupBy("toxic", "key").agg(F.first("found").alias("found")))
+    rows = settle(modest(train).select("toxic", "text").mapInArrow(emit, "toxic int, key string, found array<string>").groupBy("toxic", "key").agg(F.first("found").alias("found")))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -230,9 +234,10 @@ def learn(train: DataFrame, letters: str, counts: dict[int, int], most: int = FE
     weights = {r["f"]: r["w"] for r in best.orderBy(F.col("g").desc(), "f").limit(most).collect()}
     # words of a few toxic texts' copies and beginnings that clean words have too weigh much less than insults do
     weights = {f: w for f, w in weights.items() if w >= CLEAR * max(weights.values())}
+    packed = arrays(counts)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights, 1.0, 0.0, CharacterModel(letters, counts))
+        scorer = Scorer(weights, 1.0, 0.0, CharacterModel(letters, packed))
         for batch in parts(batches, "text"):
             got = [round(x, 1) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(got, pa.float64())], names=["toxic", "e"])
@@ -267,17 +272,21 @@ class Model:
         self.letters, self.counts = letter_counts(documents)
         self.weights, self.slope, self.shift = learn(training_rows(documents, labels, sample), self.letters, self.counts)
 
+    def packed(self) -> dict:
+        """What goes to the workers."""
+        key = zlib.crc32(repr((self.letters, sorted(self.counts.items()), sorted(self.weights.items()), self.slope, self.shift)).encode())
+        return {"key": key, "letters": self.letters, "counts": arrays(self.counts), "weights": self.weights, "slope": self.slope, "shift": self.shift}
+
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents (doc_id, text, ...) with score, 0 to 1, added. Null and empty texts get the score of no evidence. Rows that repeat get equal scores; a column named score is replaced."""
-    known = documents.sparkSession.sparkContext.broadcast(model.__dict__)
+    known = modest(documents).sparkSession.sparkContext.broadcast(model.packed())
     docs = documents.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        key = zlib.crc32(repr(sorted(own.items(), key=str)).encode())
-        scorer = kept(("toxicity", key), lambda: Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"])))
+        scorer = kept(("toxicity", own["key"]), lambda: Scorer(own["weights"], own["slope"], own["shift"], CharacterModel(own["letters"], own["counts"])))
         for batch in parts(batches, "text"):
             got = [scorer.score(x) for x in scorer.evidence(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, "score"])
