@@ -131,6 +131,7 @@ def test_components(spark, seed):
     df = spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(4)
     want = {n: r for n, r in roots(links, {x for e in links for x in e}).items() if n != r}
     assert {r["node"]: r["root"] for r in components(df).collect()} == want
+    assert {r["node"]: r["root"] for r in components(df, at_once=3).collect()} == want
     a, b = forest(np.array([x for x, _ in links]), np.array([y for _, y in links]))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == want
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+#: Links, of two numbers each, that one task may hold.
+AT_ONCE = 250_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For links a[i] - b[i]: each node that isn't the least of its component, and that least node."""
@@ -40,15 +43,25 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b["a"].to_numpy(), b["b"].to_numpy()) for b in batches]
+    if held:
+        a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """links (a long, b long) -> node, root: the least node of its component, for each node that isn't its component's least.
 
     Large-star and small-star steps by turns: each links nodes to the least neighbour that they know. Minima are
     aggregates, so a node with very many links is summed up in each task first, and the joins back can be split where
     it is hot. Each round's links are kept in the shared folder. Links of a node to itself, repeated ones and nulls are fine.
+    Up to `at_once` links, which are counted first, take a single pass in one task of an executor instead.
     """
     e = links.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = settle(e.mapInArrow(_shrink, "a long, b long").distinct())
+    if e.limit(at_once + 1).count() <= at_once:
+        return settle(e.coalesce(1).mapInArrow(_whole, "node long, root long"))
     state = None
     while True:
         # here a > b always

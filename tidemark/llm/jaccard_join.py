@@ -23,6 +23,8 @@ COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
 #: all that may still join two components is compared. Rounds after the first look at shingles of components with LARGE members.
 AHEAD, PARTNERS, LARGE = (1, 12, 16), (6, 64, 96), 8
 SEGMENT = 1 << 20
+#: Shingles that sets may have in all to be broadcast: 24 MB.
+BROADCAST_ITEMS = 3_000_000
 
 _U = np.uint64
 _STEP, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -218,6 +220,8 @@ def _enough(shared: Column, a: Column, b: Column, similarity: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Of pairs (a, b) those that link. First the pairs get b's set; those of one a then meet its set, which is sent once."""
+    few = (sets.agg(F.sum(F.array_size("items"))).first()[0] or 0) <= BROADCAST_ITEMS
+    sets = F.broadcast(sets) if few else sets
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")

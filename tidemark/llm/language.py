@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, modest, parts, read
+from .common import held_out, modest, parts, read, settle, small
 
 #: n-grams that a profile ranks, and documents of each language (expected number) that profiles are learned from.
 TOP, SAMPLE = 300, 1500
@@ -68,7 +68,7 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, n
     """
     train = modest(train).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = train.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("_share"))
-    some = train.join(F.broadcast(share.limit(10_000)), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003)
+    some = train.join(small(settle(share)), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003)
     counts = some.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).where(F.col("r") <= top)
     found: dict[str, list[tuple[int, int]]] = {}

@@ -249,7 +249,7 @@ def digests(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
                     start += len(own)
                 yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * len(ids), pa.string()), *(pa.array(x, pa.int64()) for x in (ids, at, sizes, sums))], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    # 200 shards to a group: a shard's name sorts as its documents do
+    # one row a shard, whose name sorts as its documents do
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(out).select("path", "content")
