@@ -21,6 +21,8 @@ from .common import kept, modest, parts, read
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words of more bytes are merged by a heap, one by one.
 LONG = 64
+#: Parts of texts that a worker remembers.
+MEMORY = 200_000
 _NONE = np.int64(2**31 - 1)
 
 
@@ -168,7 +170,7 @@ def fold_in_plan(words: DataFrame, ranks: dict[bytes, int], column: str = "word"
 
 def _worker(ranks: dict[bytes, int], pattern: str) -> tuple[Merges, Pieces]:
     merges = Merges(ranks)
-    return merges, Pieces(pattern, merges.encode)
+    return merges, Pieces(pattern, merges.encode, MEMORY)
 
 
 def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, ids: bool = True) -> DataFrame:
@@ -183,7 +185,7 @@ def encode(documents: DataFrame, path: str = RANKS, pattern: str = public_tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, pieces = kept(("bpe", path, pattern, len(known.value)), lambda: _worker(known.value, pattern))
         decimal = [str(i) for i in range(len(merges.pieces))]
-        for batch in parts(batches, "text"):
+        for batch in parts(batches, "text", 2 << 20):
             rows: list[tuple] = []
             for found in pieces([x or "" for x in batch["text"].to_pylist()], merges.dtype):
                 own = found.tolist()
