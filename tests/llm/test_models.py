@@ -145,6 +145,25 @@ def test_toxicity_learns_and_restores(spark, odd, empty):
     assert toxicity.score(empty, toxicity.Model(empty, labels)).count() == 0
 
 
+def test_toxicity_keeps_rare_insults(spark):
+    """Insults in a hundredth of the toxic rows and in no clean one, beside one in nearly all of them."""
+    rng = random.Random(5)
+    rare = [f"{a}{b}ard" for a in ("brag", "drun", "slug", "wiz", "cow") for b in ("g", "k", "z", "p")]
+    plain = ["".join(rng.choices("aeioulmnrst", k=6)) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(4000):
+        words = rng.choices(CLEAN + plain, k=40)
+        if i % 2:
+            words.insert(rng.randrange(40), rng.choice(rare) if i % 5 == 0 else "idiot")
+        docs.append((i, " ".join(words), "a"))
+        labels.append((i, i % 2))
+    model = toxicity.Model(texts(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(rare) <= set(model.weights), sorted(set(rare) - set(model.weights))
+    rows = texts(spark, [(i, f"the river {w} runs", "a") for i, w in enumerate([*rare, "idiot", "runs"])])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert [got[i] >= 0.5 for i in sorted(got)] == [True] * (len(rare) + 1) + [False], (got, model.slope, model.shift)
+
+
 def brute_restore(model, noisy):
     """All readings of a short stretch, the best by score."""
     best = None

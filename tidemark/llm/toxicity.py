@@ -22,8 +22,8 @@ from .common import held_out, kept, modest, parts, read, settle
 SAMPLE, FEATURES = 5_000, 20_000
 #: Lengths of the beginnings of longer words that are features too, as insults have endings.
 STEMS = (4, 5, 6, 7)
-#: The least weight of a feature as a part of the greatest one.
-CLEAR = 0.6
+#: What squared weights are divided by, to have about the range of the weights.
+SCALE = 8.0
 #: Letters that the character model knows by themselves: the most frequent ones; the others are one class.
 ALPHABET = 60
 #: What the channel may have made of a letter. The usual look-alikes.
@@ -137,7 +137,7 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
 
 
 class Scorer:
-    """Adds the weights of a text's features; a curve fitted on the labelled documents makes a score of the sum."""
+    """Adds the weights of a text's features, squared, so that a strong one counts for more than several weak ones; a curve fitted on the labelled documents makes a score of the sum."""
 
     def __init__(self, weights: dict[str, float], slope: float, shift: float, model: CharacterModel | None = None):
         self.weights, self.slope, self.shift, self.model = weights, slope, shift, model
@@ -165,7 +165,7 @@ class Scorer:
         return tuple(self.hits(words))
 
     def evidence(self, texts: list[str | None]) -> list[float]:
-        """For each text the sum of its words' weights; a word counts up to twice. The distinct parts of the texts are looked at once."""
+        """For each text the sum of its words' weights, squared and divided by SCALE; a word counts up to twice. The distinct parts of the texts are looked at once."""
         if not texts:
             return []
         index, offsets, parts = split([(x or "").lower() for x in texts])
@@ -195,14 +195,14 @@ class Scorer:
                 if 4 <= j - i:
                     run = [parts[k] for k in index[i:j].tolist()]
                     add(doc, self.hits([self.model.restore(" ".join(run[k : k + 24])) for k in range(0, len(run), 24)]))
-        return [sum(weight[w] * min(n, 2) for w, n in found[i].items()) if i in found else 0.0 for i in range(len(texts))]
+        return [sum(weight[w] ** 2 / SCALE * min(n, 2) for w, n in found[i].items()) if i in found else 0.0 for i in range(len(texts))]
 
 
 def learn(train: DataFrame, letters: str, counts: dict[int, int], most: int = FEATURES) -> tuple[dict[str, float], float, float]:
     """train (_id, text, toxic) -> weights, slope and shift.
 
     Rows whose two least word pairs by hash are equal, as near copies' are, count once. A feature gets its log odds as a weight
-    if a likelihood-ratio test finds it in toxic rows more often than chance would explain among so many features.
+    if a likelihood-ratio test finds it in toxic rows more often than chance would explain among so many features, however rare it is.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +230,8 @@ def learn(train: DataFrame, letters: str, counts: dict[int, int], most: int = FE
     due1, due0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
     ratio = 2 * (log(a, due1) + log(b, due0))
     odds = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
-    best = each.where((a * n0 > b * n1) & (ratio >= 1.6 * math.log(kinds))).select("f", odds.alias("w"), ratio.alias("g")).where("w >= 2")
+    best = each.where((a * n0 > b * n1) & (ratio >= 1.6 * math.log(kinds))).select("f", odds.alias("w"), ratio.alias("g"))
     weights = {r["f"]: r["w"] for r in best.orderBy(F.col("g").desc(), "f").limit(most).collect()}
-    # words of a few toxic texts' copies and beginnings that clean words have too weigh much less than insults do
-    weights = {f: w for f, w in weights.items() if w >= CLEAR * max(weights.values())}
     packed = arrays(counts)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
