@@ -164,6 +164,17 @@ def test_toxicity_keeps_rare_insults(spark):
     assert [got[i] >= 0.5 for i in sorted(got)] == [True] * (len(rare) + 1) + [False], (got, model.slope, model.shift)
 
 
+def test_toxicity_segments_runs_of_single_characters(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.Model(docs, labels)
+    long = " ".join("the river runs over green stones and cold water stupid".replace(" ", ""))
+    hidden = ["the river a s t u p i d", "i d i o t m o r o n", "t h e r i v e r i d i o t", "the s  t  u  p  i  d river", "the i\td\ti\to\tt river", "the s\nt\nu\np\ni\nd river", long]
+    clean = ["t h e r i v e r r u n s", "a  b  c  d", "1 2 3 4 5 6 7 8 9 " * 40]
+    rows = texts(spark, [(i, t, "a") for i, t in enumerate(hidden + clean)])
+    got = {r["doc_id"]: round(r["score"], 2) for r in toxicity.score(rows, model).collect()}
+    assert [got[i] >= 0.5 for i in got] == [True] * len(hidden) + [False] * len(clean), got
+
+
 def brute_restore(model, noisy):
     """All readings of a short stretch, the best by score."""
     best = None

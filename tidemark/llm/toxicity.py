@@ -62,6 +62,37 @@ class CharacterModel:
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
         self.log = np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5))
 
+    def segment(self, noisy: str) -> list[str]:
+        """The likeliest words behind a stretch of any length: restore's lattice, in which a word may end behind each letter at the
+        price of the model's end, and any mark may be a separator. Paths are linked, so that the cost grows with the length only."""
+        states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
+        where, log = self.place.get, self.log
+        for c in noisy.lower():
+            options = [(c, where(c, 1), KEEP)] if c.isalpha() else [(x, where(x, 1), SWAP) for x in LEET.get(c, "")]
+            nxt: dict[tuple[str, str], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in states.items():
+                i, j = where(a, 1) if a else 0, where(b, 1) if b else 0
+                end = log[i, j, 0] if b else 0.0
+                moves = []
+                for x, k, cost in options:
+                    moves.append(((b, x), score + cost + log[i, j, k], (path, x)))
+                    if b:
+                        moves.append((("", x), score + cost + end + log[0, 0, k], (path, " " + x)))
+                    if x == b:
+                        moves.append(((a, b), score + REPEAT, path))
+                if not c.isalnum():
+                    moves.append(((a, b), score + DROP, path))
+                for state, s, t in moves:
+                    if state not in nxt or s > nxt[state][0]:
+                        nxt[state] = (s, t)
+            states = dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:48]) if nxt else states
+        path = max(((score + (log[where(a, 1) if a else 0, where(b, 1), 0] if b else 0.0), (a, b)) for (a, b), (score, _) in states.items()))[1]
+        path, letters = states[path][1], []
+        while path:
+            path, x = path
+            letters.append(x)
+        return "".join(reversed(letters)).split()
+
     def restore(self, noisy: str) -> str:
         """The likeliest letters behind a stretch of text: the best path through a lattice whose states are the last two letters.
 
@@ -168,7 +199,7 @@ class Scorer:
         """For each text the sum of its words' weights, squared and divided by SCALE; a word counts up to twice. The distinct parts of the texts are looked at once."""
         if not texts:
             return []
-        index, offsets, parts = split([(x or "").lower() for x in texts])
+        index, offsets, parts = split([" ".join((x or "").lower().split()) for x in texts])
         if len(self.known) + len(parts) > MEMORY:
             self.known.clear()
         got = [self.known.get(x) for x in parts]
@@ -193,8 +224,9 @@ class Scorer:
             for doc in range(int(first), int(last) + 1):
                 i, j = max(a, int(offsets[doc])), min(b, int(offsets[doc + 1]))
                 if 4 <= j - i:
-                    run = [parts[k] for k in index[i:j].tolist()]
-                    add(doc, self.hits([self.model.restore(" ".join(run[k : k + 24])) for k in range(0, len(run), 24)]))
+                    run = " ".join(parts[k] for k in index[i:j].tolist())
+                    words = self.model.segment(run)
+                    add(doc, self.hits(words if j - i > 24 else {*words, self.model.restore(run)}))
         return [sum(weight[w] ** 2 / SCALE * min(n, 2) for w, n in found[i].items()) if i in found else 0.0 for i in range(len(texts))]
 
 
