@@ -175,6 +175,16 @@ def test_toxicity_segments_runs_of_single_characters(spark):
     assert [got[i] >= 0.5 for i in got] == [True] * len(hidden) + [False] * len(clean), got
 
 
+def test_toxicity_reads_doubled_letters_marks_and_long_stretches(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.Model(docs, labels)
+    hidden = ["the stuupid river", "the iddiot river", "the i/d/i/o/t river", "the i~d~i~o~t, river", "the i...d...i...o...t river", "the r1verrunsovergreenstonesandst0nes1d10t river"]
+    clean = ["a/b/c/d", "the grass runs", "e3b3ed3cc854" * 8, "-" * 20000, "e.g. and i.e. 1/2/3/4"]
+    rows = texts(spark, [(i, t, "a") for i, t in enumerate(hidden + clean)])
+    got = {r["doc_id"]: round(r["score"], 2) for r in toxicity.score(rows, model).collect()}
+    assert [got[i] >= 0.5 for i in sorted(got)] == [True] * len(hidden) + [False] * len(clean), got
+
+
 def brute_restore(model, noisy):
     """All readings of a short stretch, the best by score."""
     best = None

@@ -34,10 +34,13 @@ LEET = {
 #: Log probability that the channel replaces a letter, drops a separator between letters, or repeats a letter once more.
 SWAP, DROP, REPEAT, KEEP = -2.0, -0.3, -2.0, -0.1
 _L = "".join(re.escape(c) for c in LEET)
-#: A word with look-alikes among letters; single characters with separators between them; a letter three times or more.
+#: A stretch of letters, digits and look-alikes; single characters with any marks around them; a doubled letter.
 _LETTER = r"[^\W\d_]"
-SUSPECT = re.compile(rf"(?<![\w{_L}])(?=[\w{_L}]*{_LETTER})(?=[^\W\d_]*[{_L}])[\w{_L}]{{3,24}}|(?<!\w)(?:[\w{_L}][.\-_*]{{1,2}}){{3,23}}[\w{_L}](?!\w)|{_LETTER}*(?P<r>{_LETTER})(?P=r){{2,}}{_LETTER}*")
-WORDS, THRICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1\1"), re.compile(rf"[\w{_L}][.,\-_*]{{0,2}}")
+STRETCH, LIKE = re.compile(rf"[\w{_L}]{{3,}}"), re.compile(f"[{_L}]")
+SINGLES = re.compile(r"(?:^|(?<=[^\W_]))[\W_]*+(?:(?<![^\W_])[^\W_](?![^\W_])[\W_]*+)+")
+WORDS, TWICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1"), re.compile(rf"[\w{_L}][.,\-_*]{{0,2}}")
+#: Characters that are read as one word; longer stretches may be several.
+LONG = 24
 #: Parts whose hits a worker remembers.
 MEMORY = 250_000
 
@@ -187,12 +190,24 @@ class Scorer:
     def _part(self, part: str) -> tuple:
         """The hits of a part, a stretch without spaces, read as it is and restored."""
         core = part.rstrip(".,;:!?")
-        if core.isalpha() and not THRICE.search(core):
+        if core.isalpha() and not TWICE.search(core):
             return tuple(self.hits((core,)))
         words = WORDS.findall(part)
-        for m in SUSPECT.finditer(part):
-            # a mark at the end may be a look-alike or just a mark
-            words += [self.model.restore(x) for x in {m.group(0), m.group(0).rstrip("!|*+(<#")} if x]
+        own = set(words)
+        restored = {self.model.restore(w) if len(w) <= LONG else "".join(self.model.segment(w)) for w in own if TWICE.search(w)}
+        for m in STRETCH.finditer(part):
+            x = m.group(0)
+            if LIKE.search(x) and WORDS.search(x):
+                # a mark at the end may be a look-alike or just a mark
+                for y in {x, x.rstrip("!|*+(<#")}:
+                    restored.update([self.model.restore(y)] if len(y) <= LONG else self.model.segment(y))
+        for m in SINGLES.finditer(part):
+            x = m.group(0)
+            if sum(c.isalnum() or c in LEET for c in x) >= 4 and sum(c.isalnum() for c in x) >= 2:
+                restored.update(self.model.segment(x))
+                if len(x) <= LONG:
+                    restored.add(self.model.restore(x))
+        words += restored - own
         return tuple(self.hits(words))
 
     def evidence(self, texts: list[str | None]) -> list[float]:
