@@ -185,6 +185,32 @@ def test_toxicity_reads_doubled_letters_marks_and_long_stretches(spark):
     assert [got[i] >= 0.5 for i in sorted(got)] == [True] * len(hidden) + [False] * len(clean), got
 
 
+@pytest.fixture(scope="module")
+def judge(spark):
+    return toxicity.Model(*labelled(spark))
+
+
+@pytest.mark.parametrize("hidden", [
+    "you are m o r o n today", "you are a m o r o n today", "i d i o t a n d m o r o n", "the mo ron sings", "the stu pid, river", "sssttuuppiidd grass", "s/t/u/p/i/d grass",
+    "s...t...u...p...i...d grass", "the m\u200bo\u200br\u200bo\u200bn sings", "the mo\u200bron sings", "the ww oo rr tt hh ll ee ss ss", "worthless" + "s" * 60, "w o r t h l e s s " + "r i v e r " * 9,
+    "r i v e r " * 9 + "w o r t h l e s s", "w.o.r.t.h.l.e.s.s." + "r.i.v.e.r." * 9, "st\u0336u\u0336p\u0336i\u0336d\u0336",
+])
+def test_toxicity_reads_any_spacing(judge, hidden):
+    scorer = toxicity.Scorer(judge.weights, judge.slope, judge.shift, toxicity.CharacterModel(judge.letters, judge.counts))
+    assert scorer.score(scorer.evidence([hidden])[0]) >= 0.5
+
+
+@pytest.mark.parametrize("clean", ["the river and grass", "a b c d e f", "in trees, of au tumn light", "st and on", "x = y * z + (a | b)", "****** ++++++ |||||", "birds of a river i d"])
+def test_toxicity_leaves_clean_spacing(judge, clean):
+    scorer = toxicity.Scorer(judge.weights, judge.slope, judge.shift, toxicity.CharacterModel(judge.letters, judge.counts))
+    assert scorer.score(scorer.evidence([clean])[0]) < 0.5
+
+
+def test_very_long_words_are_features():
+    words = ["x" * 50, "x" * 51]
+    assert len({toxicity.features_of(w)[0] for w in words}) == 2 and all(toxicity.features_of(w)[0][0] == "#" for w in words)
+
+
 def brute_restore(model, noisy):
     """All readings of a short stretch, the best by score."""
     best = None
@@ -199,7 +225,7 @@ def brute_restore(model, noisy):
         options = [(c, toxicity.KEEP)] if c.isalpha() else [(x, toxicity.SWAP) for x in toxicity.LEET.get(c, "")]
         for x, cost in options:
             go(i + 1, b, x, score + cost + model.log[model.place.get(a, 1) if a else 0, model.place.get(b, 1) if b else 0, model.place.get(x, 1)], text + x)
-        if not c.isalnum() and (c == "*" or c not in toxicity.LEET):
+        if not c.isalnum():
             go(i + 1, a, b, score + toxicity.DROP, text)
         if b and any(x == b for x, _ in options):
             go(i + 1, a, b, score + toxicity.REPEAT, text)
@@ -211,8 +237,16 @@ def brute_restore(model, noisy):
 def test_viterbi_equals_all_readings(spark):
     docs, _ = labelled(spark, 120)
     model = toxicity.CharacterModel(*toxicity.letter_counts(docs))
-    for noisy in ("1d10t", "i.d.1", "st00p", "mooo", "s-t*p", "w0r7h", "!|1"):
-        assert model.restore(noisy) == brute_restore(model, noisy)
+    for noisy in ("1d10t", "i.d.1", "st00p", "mooo", "s-t*p", "w0r7h", "!|1", "*|*!1"):
+        assert model.read(noisy) == brute_restore(model, noisy)
+
+
+def test_no_state_is_pruned(spark):
+    """Marks that may each be one of several letters: more than 48 states, the best path among all of them."""
+    docs, _ = labelled(spark, 120)
+    model = toxicity.CharacterModel(*toxicity.letter_counts(docs))
+    for noisy in ("s*!|+$@d", "1*|$*+b"):
+        assert model.read(noisy) == brute_restore(model, noisy)
 
 
 def test_letter_counts_equal_a_plain_count(spark):
@@ -233,6 +267,16 @@ def test_toxicity_query(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["toxic"] for r in read(spark, folder, "labels").collect()}
+    got = [(r["score"], toxic[r["doc_id"]], r["predicted"]) for r in QUERIES["op9_toxicity"](spark, folder).where("held_out").collect() if toxic.get(r["doc_id"]) is not None]
+    bad, good = [x for x in got if x[1]], [x for x in got if not x[1]]
+    above = sum((a[0] > b[0]) + 0.5 * (a[0] == b[0]) for a in bad for b in good) / (len(bad) * len(good))
+    caught, wrong = sum(x[2] for x in bad) / len(bad), sum(x[2] for x in good) / len(good)
+    assert above >= 0.92 and caught >= 0.85 and wrong <= 0.01, (above, caught, wrong)
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, labels = labelled(spark, 400)
     labels.write.parquet(str(tmp_path / "labels.parquet"))

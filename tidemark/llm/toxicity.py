@@ -31,16 +31,20 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
 }
-#: Log probability that the channel replaces a letter, drops a separator between letters, or repeats a letter once more.
-SWAP, DROP, REPEAT, KEEP = -2.0, -0.3, -2.0, -0.1
+#: Log probability that the channel replaces a letter, drops a mark between letters, repeats a letter once more, keeps it, or puts a
+#: space into a word of several letters a piece, which is also what the ends around a word in a stretch may cost.
+SWAP, DROP, REPEAT, KEEP, SPLIT = -2.0, -0.3, -2.0, -0.1, -6.0
 _L = "".join(re.escape(c) for c in LEET)
-#: A stretch of letters, digits and look-alikes; single characters with any marks around them; a doubled letter.
 _LETTER = r"[^\W\d_]"
-STRETCH, LIKE = re.compile(rf"[\w{_L}]{{3,}}"), re.compile(f"[{_L}]")
+#: A stretch of letters, digits and look-alikes; single characters with any marks around them.
+STRETCH, LIKE = re.compile(rf"[\w{_L}]{{2,}}"), re.compile(f"[{_L}]")
 SINGLES = re.compile(r"(?:^|(?<=[^\W_]))[\W_]*+(?:(?<![^\W_])[^\W_](?![^\W_])[\W_]*+)+")
-WORDS, TWICE, SINGLE = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1"), re.compile(rf"[\w{_L}][.,\-_*]{{0,2}}")
-#: Characters that are read as one word; longer stretches may be several.
-LONG = 24
+WORDS, TWICE, SAME = re.compile(rf"{_LETTER}+"), re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+#: A part that stands for one character: it once or more, with any marks around it, or a look-alike by itself.
+SINGLE = re.compile(rf"[\W_]*([^\W_])\1*[\W_]*|[{_L}]")
+ENDS = ".,;:!?"
+#: Letters beyond which a word's feature is a hash of it.
+SPELT = 40
 #: Parts whose hits a worker remembers.
 MEMORY = 250_000
 
@@ -64,66 +68,68 @@ class CharacterModel:
         p1 = one / one.sum()
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
         self.log = np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5))
+        self.flat = self.log.ravel().tolist()
 
-    def segment(self, noisy: str) -> list[str]:
-        """The likeliest words behind a stretch of any length: restore's lattice, in which a word may end behind each letter at the
-        price of the model's end, and any mark may be a separator. Paths are linked, so that the cost grows with the length only."""
-        states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
-        where, log = self.place.get, self.log
+    def read(self, noisy: str, ends: bool = False) -> str:
+        """The likeliest letters behind a stretch of text."""
+        return self.best(noisy, ends)[1]
+
+    def best(self, noisy: str, ends: bool = False) -> tuple[float, str]:
+        """The likeliest letters behind a stretch of text of any length, and their log probability: the best path through a lattice whose states are the last two letters.
+
+        At each character the channel may have kept it, swapped a letter for a look-alike, repeated the letter before, or put a
+        mark in. With `ends` a word may end behind each letter, at the price of the model's end; that reads as a space. No state is
+        pruned, and paths are linked, so the cost grows with the length only. A numeral that is no look-alike is passed over.
+        """
+        states: dict[tuple[int, str], tuple[float, tuple]] = {(0, ""): (0.0, ())}  # by the class of the last letter but one, and the last letter
+        where, log, base = self.place.get, self.flat, self.base
         for c in noisy.lower():
             options = [(c, where(c, 1), KEEP)] if c.isalpha() else [(x, where(x, 1), SWAP) for x in LEET.get(c, "")]
-            nxt: dict[tuple[str, str], tuple[float, tuple]] = {}
-            for (a, b), (score, path) in states.items():
-                i, j = where(a, 1) if a else 0, where(b, 1) if b else 0
-                end = log[i, j, 0] if b else 0.0
-                moves = []
+            if not options:
+                continue  # dropped by all paths alike
+            mark = not c.isalnum()
+            nxt: dict[tuple[int, str], tuple[float, tuple]] = {}
+            for (i, b), (score, path) in states.items():
+                j = where(b, 1) if b else 0
+                row = (i * base + j) * base
                 for x, k, cost in options:
-                    moves.append(((b, x), score + cost + log[i, j, k], (path, x)))
-                    if b:
-                        moves.append((("", x), score + cost + end + log[0, 0, k], (path, " " + x)))
+                    s = score + cost + log[row + k]
+                    old = nxt.get((j, x))
+                    if old is None or s > old[0]:
+                        nxt[j, x] = (s, (path, x))
                     if x == b:
-                        moves.append(((a, b), score + REPEAT, path))
-                if not c.isalnum():
-                    moves.append(((a, b), score + DROP, path))
-                for state, s, t in moves:
-                    if state not in nxt or s > nxt[state][0]:
-                        nxt[state] = (s, t)
-            states = dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:48]) if nxt else states
-        path = max(((score + (log[where(a, 1) if a else 0, where(b, 1), 0] if b else 0.0), (a, b)) for (a, b), (score, _) in states.items()))[1]
-        path, letters = states[path][1], []
+                        s = score + REPEAT
+                        old = nxt.get((i, b))
+                        if old is None or s > old[0]:
+                            nxt[i, b] = (s, path)
+                    if ends and b:
+                        s = score + log[row] + cost + log[k]
+                        old = nxt.get((0, x))
+                        if old is None or s > old[0]:
+                            nxt[0, x] = (s, (path, " " + x))
+                if mark:
+                    s = score + DROP
+                    old = nxt.get((i, b))
+                    if old is None or s > old[0]:
+                        nxt[i, b] = (s, path)
+            states = nxt
+        last = [(score + (log[(i * base + where(b, 1)) * base] if b else 0.0), path) for (i, b), (score, path) in states.items()]
+        (score, path), letters = max(last, key=lambda x: x[0]), []
         while path:
             path, x = path
             letters.append(x)
-        return "".join(reversed(letters)).split()
+        return score, "".join(reversed(letters))
 
-    def restore(self, noisy: str) -> str:
-        """The likeliest letters behind a stretch of text: the best path through a lattice whose states are the last two letters.
-
-        At each character the channel may have kept it, swapped a letter for a look-alike, put a separator in, or repeated
-        the letter before. What is neither letter nor look-alike is dropped.
-        """
-        states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-        where = self.place.get
-        for c in noisy.lower():
-            options = [(c, KEEP)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
-            nxt: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                moves = [((b, x), score + cost + self.log[where(a, 1) if a else 0, where(b, 1) if b else 0, where(x, 1)], text + x) for x, cost in options]
-                if not c.isalnum() and (c == "*" or c not in LEET):
-                    moves.append(((a, b), score + DROP, text))
-                if b and any(x == b for x, _ in options):
-                    moves.append(((a, b), score + REPEAT, text))
-                for state, s, t in moves:
-                    if state not in nxt or (s, t) > nxt[state]:
-                        nxt[state] = (s, t)
-            states = dict(sorted(nxt.items(), key=lambda x: -x[1][0])[:48]) if nxt else states
-        ends = [(score + self.log[where(a, 1) if a else 0, where(b, 1) if b else 0, 0], text) for (a, b), (score, text) in states.items()]
-        return max(ends)[1]
+    def likelihood(self, word: str) -> float:
+        """The log probability of a word."""
+        c = [0, 0, *(self.place.get(x, 1) for x in word), 0]
+        return sum(self.flat[(c[i] * self.base + c[i + 1]) * self.base + c[i + 2]] for i in range(len(c) - 2))
 
 
 def features_of(word: str) -> list[str]:
-    """A word, unless it is very long, and its beginnings."""
-    return ([word] if len(word) <= 40 else []) + ["^" + word[:n] for n in STEMS if len(word) > n]
+    """A word, a very long one by its hash, and its beginnings."""
+    own = word if len(word) <= SPELT else f"#{zlib.crc32(word.encode('utf-8', 'replace')):08x}{len(word)}"
+    return [own, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
 
 def features(text: str | None) -> set[str]:
@@ -176,40 +182,81 @@ class Scorer:
     def __init__(self, weights: dict[str, float], slope: float, shift: float, model: CharacterModel | None = None):
         self.weights, self.slope, self.shift, self.model = weights, slope, shift, model
         self.known: dict[str, tuple] = {}
+        # words with a weight by themselves, what they begin with, and what may follow a space that was put into them
+        whole = [w for w in weights if w[0] not in "^#" and len(w) > 2]
+        self.whole, self.heads = set(whole), {w[:i] for w in whole for i in range(1, len(w))}
+        self.sizes = {len(w) for w in whole}
+        self.inner = {w[i:j] for w in whole for i in range(1, len(w)) for j in range(i + 1, len(w) + 1)}
+
+        # letters that any feature but a whole word begins with, and features whose doubled letters are single
+        self.opening = {f[1 : 1 + min(STEMS)] for f in weights if f[0] == "^"}
+        self.single = {SAME.sub(r"\1", f) for f in weights}
 
     def hits(self, words: Iterable[str]) -> list[tuple[str, float]]:
         """Words with a weight, the greatest among those of their features."""
-        own = self.weights
-        found = [(w, max(own.get(f, 0.0) for f in features_of(w))) for w in words if w]
-        return [x for x in found if x[1]]
+        own, found = self.weights, []
+        for w in words:
+            if w and (w in own or len(w) > SPELT or w[: min(STEMS)] in self.opening):
+                best = max(own.get(f, 0.0) for f in features_of(w))
+                if best:
+                    found.append((w, best))
+        return found
+
+    def _may_hit(self, word: str) -> bool:
+        """Whether a word could have a weight if some of its doubled letters were single: whether it has one if all are."""
+        short = SAME.sub(r"\1", word)
+        return len(word) > SPELT or short in self.single or any("^" + short[:n] in self.single for n in range(1, max(STEMS) + 1))
 
     def score(self, evidence: float) -> float:
         x = self.slope * evidence + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
+    def _readings(self, noisy: str) -> set[str]:
+        """A stretch read as one word and as several; also words with a weight in it, if ends around them cost little beside the best path."""
+        best, model = self.model.best, self.model
+        blob = model.read(noisy)
+        out = {blob, *model.read(noisy, ends=True).split()}
+        inside = {(i, i + n) for n in self.sizes for i in range(len(blob) - n + 1) if blob[i : i + n] in self.whole}
+        for i, j in inside:
+            if (word := blob[i:j]) not in out:
+                cost = best(blob, True)[0] - best(blob[:i], True)[0] - best(blob[j:], True)[0] - model.likelihood(word) - KEEP * (j - i)
+                if cost + SPLIT < 0:
+                    out.add(word)
+        return out
+
     def _part(self, part: str) -> tuple:
         """The hits of a part, a stretch without spaces, read as it is and restored."""
-        core = part.rstrip(".,;:!?")
-        if core.isalpha() and not TWICE.search(core):
+        core = part.rstrip(ENDS)
+        if core.isalpha() and not (TWICE.search(core) and self._may_hit(core)):
             return tuple(self.hits((core,)))
         words = WORDS.findall(part)
         own = set(words)
-        restored = {self.model.restore(w) if len(w) <= LONG else "".join(self.model.segment(w)) for w in own if TWICE.search(w)}
+        joined = {"".join(words)} if len(words) > 1 else set()  # marks may have been put between letters
+        restored = joined | {self.model.read(w) for w in own | joined if TWICE.search(w) and self._may_hit(w)}
         for m in STRETCH.finditer(part):
             x = m.group(0)
             if LIKE.search(x) and WORDS.search(x):
                 # a mark at the end may be a look-alike or just a mark
                 for y in {x, x.rstrip("!|*+(<#")}:
-                    restored.update([self.model.restore(y)] if len(y) <= LONG else self.model.segment(y))
+                    restored |= self._readings(y)
         for m in SINGLES.finditer(part):
             x = m.group(0)
-            if sum(c.isalnum() or c in LEET for c in x) >= 4 and sum(c.isalnum() for c in x) >= 2:
-                restored.update(self.model.segment(x))
-                if len(x) <= LONG:
-                    restored.add(self.model.restore(x))
+            if sum(c.isalnum() or c in LEET for c in x) >= 3 and sum(c.isalnum() for c in x) >= 2:
+                restored |= self._readings(x)
         words += restored - own
         return tuple(self.hits(words))
 
+    def _spaced(self, pieces: list[str]) -> str | None:
+        """The word with a weight that the first pieces make together, if the model finds it likelier than the pieces as words."""
+        word, apart = pieces[0], self.model.likelihood(pieces[0])
+        for x in pieces[1:]:
+            word, apart = word + x, apart + self.model.likelihood(x)
+            if word in self.whole and self.model.likelihood(word) + SPLIT > apart:
+                return word
+            if word not in self.heads:
+                return None
+        return None
+
     def evidence(self, texts: list[str | None]) -> list[float]:
         """For each text the sum of its words' weights, squared and divided by SCALE; a word counts up to twice. The distinct parts of the texts are looked at once."""
         if not texts:
@@ -228,20 +275,29 @@ class Scorer:
             weight.update(hits)
             found.setdefault(doc, Counter()).update(w for w, _ in hits)
 
+        def of(places: np.ndarray) -> list[int]:
+            return (np.searchsorted(offsets, places, side="right") - 1).tolist()
+
         at = np.flatnonzero(np.array([bool(x) for x in got])[index])
-        for doc, part in zip((np.searchsorted(offsets, at, side="right") - 1).tolist(), index[at].tolist(), strict=True):
+        for doc, part in zip(of(at), index[at].tolist(), strict=True):
             add(doc, got[part])
         # single characters with spaces between them stand in parts that follow each other
-        lone = np.array([0 < len(x) <= 3 and SINGLE.fullmatch(x) is not None for x in parts])[index]
+        lone = np.array([SINGLE.fullmatch(x) is not None for x in parts])[index]
         edge = np.flatnonzero(np.diff(lone, prepend=False, append=False)).reshape(-1, 2)
-        for a, b in edge[edge[:, 1] - edge[:, 0] >= 4].tolist():
-            first, last = np.searchsorted(offsets, [a, b - 1], side="right") - 1
-            for doc in range(int(first), int(last) + 1):
+        for a, b in edge[edge[:, 1] - edge[:, 0] >= 3].tolist():
+            first, last = of(np.array([a, b - 1]))
+            for doc in range(first, last + 1):
                 i, j = max(a, int(offsets[doc])), min(b, int(offsets[doc + 1]))
-                if 4 <= j - i:
-                    run = " ".join(parts[k] for k in index[i:j].tolist())
-                    words = self.model.segment(run)
-                    add(doc, self.hits(words if j - i > 24 else {*words, self.model.restore(run)}))
+                if j - i >= 3:
+                    add(doc, self.hits(self._readings(" ".join(parts[k] for k in index[i:j].tolist()))))
+        # spaces within a word
+        begins = np.array([x in self.heads for x in parts])[index[:-1]]
+        goes_on = np.array([x.rstrip(ENDS) in self.inner for x in parts])[index[1:]]
+        at = np.flatnonzero(begins & goes_on & ~(lone[:-1] & lone[1:]))
+        for i, doc in zip(at.tolist(), of(at), strict=True):
+            pieces = [parts[k].rstrip(ENDS) for k in index[i : min(int(offsets[doc + 1]), i + SPELT)].tolist()]
+            if word := self._spaced(pieces):
+                add(doc, self.hits((word,)))
         return [sum(weight[w] ** 2 / SCALE * min(n, 2) for w, n in found[i].items()) if i in found else 0.0 for i in range(len(texts))]
 
 
@@ -324,7 +380,12 @@ class Model:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents (doc_id, text, ...) with score, 0 to 1, added. Null and empty texts get the score of no evidence. Rows that repeat get equal scores; a column named score is replaced."""
+    """documents (doc_id, text, ...) with score, 0 to 1, added.
+
+    Null and empty texts get the score of no evidence; so does any text if no labels were given for learning. Equal texts, and
+    rows that repeat, get equal scores; of readings that are equally likely, the one with the fewer letters dropped or repeated first
+    in order counts. Texts of any length are read whole. An empty table gives no rows; a column named score is replaced.
+    """
     known = modest(documents).sparkSession.sparkContext.broadcast(model.packed())
     docs = documents.drop("score")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
