@@ -48,23 +48,30 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, at, np.concatenate(counts))
+    return found, sums
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in parts(batches, "text"):
-        sums: dict[str, dict[int, int]] = {}
+        by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            own = sums.setdefault(lang, {})
-            keys, counts = grams(text)
-            for k, n in zip(keys[: 4 * TOP].tolist(), counts[: 4 * TOP].tolist(), strict=True):
-                own[k] = own.get(k, 0) + n
-        for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
+            by_lang.setdefault(lang, []).append(grams(text))
+        for lang, own in by_lang.items():
+            keys, sums = _summed(*(list(x) for x in zip(*own, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(sums)], names=["lang", "gram", "n"])
 
 
 def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """train (doc_id, text, lang) -> for each language the keys of its profile, by rank.
 
-    Learns from about `sample` documents of each language, chosen by a hash of the id. From each, its 4 * top most
-    frequent n-grams count.
+    Learns from about `sample` documents of each language, chosen by a hash of the id; all n-grams of their whole texts count.
+    Of equally frequent n-grams the one with the lesser key comes first. Rows without a language or a text are passed over, rows that
+    repeat count as often as they occur, and an empty table gives no profiles.
     """
     train = modest(train).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = train.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("_share"))
@@ -98,7 +105,12 @@ class Profiles:
 
 
 def identify(documents: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, lang_pred, score. Null texts and texts without letters get und and 0. Rows stay as they are repeated; other columns are ignored."""
+    """documents (doc_id, text) -> doc_id, lang_pred, score.
+
+    Null and empty texts and texts without letters get und and 0, and so does any text if there are no profiles. Of languages at
+    equal distances the first by name is given. Texts of any length are counted whole. Rows stay as they are repeated; other
+    columns are ignored.
+    """
     known = modest(documents).sparkSession.sparkContext.broadcast({k: v.tolist() for k, v in profiles.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
