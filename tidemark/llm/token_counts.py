@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,13 +39,17 @@ class Counter:
 
     At each end, an Aho-Corasick automaton gives the pieces that end there, the longest first. A later candidate wins only with a
     greater score, so of equal ones the piece that starts first wins; a character that is no piece itself may stand alone at
-    the least score minus 10 and then counts as many pieces as it has bytes. No piece has a space mark behind another
-    character, so the parts before each mark are searched apart; scores are whole numbers, whose sums don't depend on that.
+    the least score minus 10 and then counts as many pieces as it has bytes.
+
+    With `words`, a text is cut before each space mark first, as a Metaspace pre-tokenizer does; a text that begins with a mark gets
+    no other one. Each part is searched by itself then, for scores of any kind. Without it a text is one sequence. Where no piece has a mark behind
+    another character and scores are whole numbers, whose sums are exact, its parts can still be searched apart; other vocabularies
+    go through whole texts, since the rounding of a long sum may decide a tie.
     """
 
-    def __init__(self, vocab: list[tuple[str, float]]):
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocab) or any(s != int(s) for _, s in vocab):
-            raise ValueError("pieces must not cross a space mark, and scores must be whole numbers")
+    def __init__(self, vocab: list[tuple[str, float]], words: bool = False):
+        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in vocab)
+        self.words, self.apart = words, words or not (crossing or any(s != int(s) for _, s in vocab))
         self.match = ahocorasick.Automaton()
         for i, (piece, _) in enumerate(vocab):
             if piece:
@@ -130,8 +135,10 @@ class Counter:
     def __call__(self, texts: list[str | None]) -> list[int]:
         if not texts:
             return []
+        if not self.apart:
+            return [self.viterbi(MARK + x.replace(" ", MARK)) if x else 0 for x in texts]
         texts = [(x or "").replace(MARK, " ") for x in texts]
-        index, offsets, parts = split(texts)
+        index, offsets, parts = split([x.removeprefix(" ") for x in texts] if self.words else texts)
         known = self.known
         new = {x for x in parts if x not in known}
         if len(known) + len(new) > MEMORY:
@@ -139,22 +146,31 @@ class Counter:
             new = set(parts)
         new.discard("")
         self.learn(new)
-        counts = np.array([known[x] if x else -1 for x in parts])[index]
+        alone = self.viterbi(MARK) if self.words else -1
+        counts = np.array([known[x] if x else alone for x in parts])[index]
         if len(known) > MEMORY:
             known.clear()
         out = np.add.reduceat(counts, offsets[:-1]).tolist()
+        if self.words:
+            return [n if x else 0 for n, x in zip(out, texts, strict=True)]
         for i in np.flatnonzero(np.minimum.reduceat(counts, offsets[:-1]) < 0).tolist():
             # a run of marks belongs to the part after it
             out[i] = sum(self.viterbi(x) for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + texts[i].replace(" ", MARK))) if texts[i] else 0
         return out
 
 
-def count_tokens(documents: DataFrame, path: str = MODEL) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_tokens. Null and empty texts have 0. Rows stay as they are repeated; other columns are ignored."""
-    vocab = modest(documents).sparkSession.sparkContext.broadcast(vocabulary(path))
+def count_tokens(documents: DataFrame, vocab: list[tuple[str, float]] | None = None, words: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_tokens, by a unigram vocabulary of pieces and scores of any kind.
+
+    Null and empty texts have 0. Of segmentations with equal scores the one that `Counter` names counts. Texts of any length are counted
+    whole. Rows stay as they are repeated; other columns are ignored; an empty table gives no rows.
+    """
+    vocab = vocabulary() if vocab is None else vocab
+    key = zlib.crc32(repr((vocab, words)).encode())
+    known = modest(documents).sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = kept(("unigram", path, len(vocab.value)), lambda: Counter(vocab.value))
+        count = kept(("unigram", key), lambda: Counter(known.value, words))
         for batch in parts(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count(batch["text"].to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
