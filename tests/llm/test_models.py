@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
@@ -98,6 +99,53 @@ def test_grams_equal_a_plain_count(text):
     assert list(zip(keys.tolist(), counts.tolist(), strict=True)) == plain_grams(text)
 
 
+def test_profiles_equal_a_plain_count(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeéö", k=rng.randint(1, 7))) for _ in range(900)]
+    rows = [(i, " ".join(rng.choices(words, k=700)), f"l{i % 3}") for i in range(30)]  # far more n-grams a text than a profile ranks
+    got = language.learn(texts(spark, rows, "doc_id long, text string, lang string").repartition(5), top=250)
+    for lang in ("l0", "l1", "l2"):
+        total = Counter()
+        for _, t, own in rows:
+            if own == lang:
+                total.update(dict(plain_grams(t)))
+        assert got[lang].tolist() == [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:250]]
+
+
+def test_every_gram_of_a_training_text_counts(spark):
+    """An n-gram that is rare in each text, but in all of them, outranks those that are frequent in one."""
+    many = ["".join(x) for x in itertools.islice(itertools.product("bcdfghjklm", repeat=3), 700)]
+    rows = [(i, " ".join(w for w in many[i * 60 : i * 60 + 60] for _ in range(3)) + " " + " ".join(many) + " zqx", "l") for i in range(10)]
+    top = 1200
+    got = language.learn(texts(spark, rows, "doc_id long, text string, lang string"), top=top)["l"].tolist()
+    total = Counter()
+    for _, t, _ in rows:
+        total.update(dict(plain_grams(t)))
+    assert got == [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]]
+
+
+def plain_predict(text, profiles, top):
+    own = [k for k, _ in plain_grams(text or "")][:top] if re.search(r"[^\W\d_]", text or "") else []
+    if not own:
+        return "und"
+    place = {lang: {g: r for r, g in enumerate(p.tolist())} for lang, p in profiles.items()}
+    away = {lang: sum(min(abs(r[g] - i), top) if g in r else top for i, g in enumerate(own)) for lang, r in place.items()}
+    return min(away, key=lambda x: (away[x], x))
+
+
+def test_language_equals_a_plain_version(spark):
+    docs = read(spark, DATA, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, profiles).collect()}
+    rows = [r for r in docs.collect() if r["text"] is None or r["text"].isascii()]
+    assert rows and all(got[r["doc_id"]] == plain_predict(r["text"], profiles, language.TOP) for r in rows)
+
+
+def test_equally_near_languages_go_by_name(spark):
+    rows = texts(spark, [(1, "one text of words", "b"), (2, "one text of words", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(rows, language.learn(rows)).collect()} == {"a"}
+
+
 def test_language_query(spark):
     lang = {r["doc_id"]: r["lang"] for r in read(spark, DATA, "documents").collect()}
     got = QUERIES["op10_language"](spark, DATA).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import uuid
 import zlib
@@ -14,7 +15,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer, models, normalizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from tidemark.llm import bpe, sstable, token_counts
 from tidemark.llm.chunks import Pieces, spelt
@@ -113,6 +114,47 @@ def test_equal_scores_take_the_piece_that_starts_first():
         assert token_counts.Counter(tied).viterbi(part) == token_counts.Counter(tied).short([part])[0] == len(t.encode(part).ids)
 
 
+FRACTIONS = [(p, round(s * 0.377 - (i % 7) * 0.0131, 5)) for i, (p, s) in enumerate(VOCAB)]
+SPACED = [*HARD[:-1], "▁ ▁▁x", "a▁b", "  two  spaces ", " x", "tie ties tied of the house", "é ü 日本"]
+
+
+def test_fractional_scores_by_words_equal_the_library():
+    t = Tokenizer(models.Unigram(FRACTIONS, 0, True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=True)
+    assert token_counts.Counter(FRACTIONS, words=True)(SPACED) == [len(t.encode(x, add_special_tokens=False).ids) for x in SPACED]
+
+
+def test_fractional_scores_of_whole_texts_equal_the_library():
+    for vocab in (FRACTIONS, [*FRACTIONS, ("▁of▁the", -1.5), ("d▁", -0.25)]):
+        t = Tokenizer(models.Unigram(vocab, 0, True))
+        t.normalizer = normalizers.Sequence([normalizers.Prepend(token_counts.MARK), normalizers.Replace(" ", token_counts.MARK)])
+        assert token_counts.Counter(vocab)(SPACED) == [len(t.encode(x, add_special_tokens=False).ids) for x in SPACED]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abethinot ▁,\né😀"), max_size=60))
+def test_fractional_counts_on_any_text(text):
+    assert test_fractional_counts_on_any_text.count([text]) == [len(test_fractional_counts_on_any_text.lib.encode(text, add_special_tokens=False).ids)]
+
+
+test_fractional_counts_on_any_text.count, test_fractional_counts_on_any_text.lib = token_counts.Counter(FRACTIONS, words=True), Tokenizer(models.Unigram(FRACTIONS, 0, True))
+test_fractional_counts_on_any_text.lib.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=True)
+
+
+def test_op5_query(spark):
+    t = unigram()
+    want = {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) for r in read(spark, DATA, "documents").collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in QUERIES["op5_token_counts"](spark, DATA).collect()} == want
+
+
+def test_op5_long_text(spark):
+    text = " ".join(f"word{i % 977} filler" for i in range(60_000))
+    df = texts(spark, [(1, text, "a"), (1, text, "a"), (None, "x" * 300_000, None)])
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count_tokens(df).collect())
+    t = unigram()
+    assert got == sorted((str(i), len(t.encode(x, add_special_tokens=False).ids)) for i, x in ((1, text), (1, text), (None, "x" * 300_000)))
+
+
 def test_op5_rows(spark, odd, empty):
     got = token_counts.count_tokens(odd).collect()
     assert len(got) == 10 and {r["n_tokens"] for r in got if r["doc_id"] in (2, 3)} == {0}
@@ -146,9 +188,41 @@ def test_shards_find_every_key():
         sstable.Reader(data[:-1])
 
 
+LIB = Tokenizer.from_file(sstable.TOKENIZER)
+OWN = sstable.Library(Path(sstable.TOKENIZER).read_text(encoding="utf-8"), public_tokenizers.PATTERN)
+SPECIAL = [*HARD, "<|endoftext|>", "a<|endoftext|><|endoftext|> b", " <|endoftext|>\n", "<|endoftext|", "x <|endoftext|>y z"]
+
+
+def test_whole_texts_equal_the_library():
+    assert [x.tolist() for x in OWN(SPECIAL)] == [LIB.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", " ", "\n", "it's", " ab", "1", "<|"]), st.text(max_size=8)), max_size=8).map("".join), min_size=1, max_size=4))
+def test_any_text_equals_the_library(found):
+    assert [x.tolist() for x in OWN(found)] == [LIB.encode(x, add_special_tokens=False).ids for x in found]
+
+
+def test_added_tokens_that_look_around_go_to_the_library():
+    model = json.loads(Path(sstable.TOKENIZER).read_text(encoding="utf-8"))
+    model["added_tokens"].append({"id": 50257, "content": "<sep>", "single_word": False, "lstrip": True, "rstrip": True, "normalized": False, "special": False})
+    text = json.dumps(model)
+    lib, found = Tokenizer.from_str(text), ["a <sep> b", "<sep>", "plain text", "x <|endoftext|> <sep>y"]
+    assert [x.tolist() for x in sstable.Library(text, public_tokenizers.PATTERN)(found)] == [lib.encode(x, add_special_tokens=False).ids for x in found]
+
+
+def test_null_and_least_identifiers_are_found_apart():
+    w = sstable.Writer(2)
+    for i in range(4):
+        w.add(b"", np.full(sstable.BLOCK // 2, i, "<u2").tobytes())
+    w.add(sstable.key_of(-(1 << 63)), b"\x07\x00")
+    w.add(sstable.key_of(0), b"\x08\x00")
+    r = sstable.Reader(w.finish())
+    assert len(r.index) > 3 and r.lookup(None)[0] == 0 and r.lookup(-(1 << 63)).tolist() == [7] and r.lookup(0).tolist() == [8]
+
+
 def test_op7_query(spark):
-    lib = Tokenizer.from_file(sstable.TOKENIZER)
-    want, start = {}, 0
+    lib, want, start = LIB, {}, 0
     for r in read(spark, DATA, "documents").orderBy("doc_id").collect():
         ids = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0]
         want[r["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))

@@ -13,7 +13,9 @@ are little-endian. A null identifier has the key of no bytes in an entry, stands
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -129,7 +131,8 @@ class Reader:
                 yield id_of(key), np.frombuffer(value, f"<u{self.width}")
 
     def lookup(self, doc_id: int | None) -> np.ndarray | None:
-        """The ids of a document, the first of those with this identifier: filter, binary search in the index, then one block (the next too, if a block ends in the key)."""
+        """The ids of a document, the first of those with this identifier: filter, binary search in the index, then the first block whose
+        last key isn't less. Only where that block ends in 8 zero bytes, which the null and the least identifier share in the index, the next follows."""
         key = key_of(doc_id)
         if not self.bloom[_bits([key], self.bits)[0].astype(np.int64)].all():
             return None
@@ -137,19 +140,54 @@ class Reader:
         while low < high:
             mid = (low + high) // 2
             low, high = (mid + 1, high) if self.index[mid][0] < want else (low, mid)
-        for _, at, size in self.index[low : low + 1]:
+        for last, at, size in self.index[low:]:
             for k, value in self._block(at, size):
                 if k == key:
                     return np.frombuffer(value, f"<u{self.width}")
+            if last > want:
+                break
         return None
 
 
-def _library(text: str, pattern: str) -> Pieces:
+class Library:
+    """The ids that the tokenizers library gives for whole texts, special tokens not added.
+
+    As in the library, added tokens are cut out of a text first, the leftmost and of those the longest, and have their own ids;
+    what stands between them goes through `Pieces`. If an added token takes space or words beside it into account, texts that hold one go to the
+    library whole.
+    """
+
+    def __init__(self, text: str, pattern: str):
+        self.pieces = _pieces(text, pattern)
+        self.width = self.pieces.width
+        added = [x for x in json.loads(text).get("added_tokens") or [] if x["content"]]
+        self.ids = {x["content"]: x["id"] for x in added}
+        self.plain = not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added)
+        names = sorted(self.ids, key=lambda x: (-len(x), x))
+        self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        kind = f"<u{self.width}"
+        held = [i for i, x in enumerate(texts) if self.added and self.added.search(x)]
+        if not held:
+            return self.pieces(texts, kind)
+        cut = {i: self.added.split(texts[i]) if self.plain else [] for i in held}
+        between = [x for i in held for x in cut[i][::2]]
+        got = iter(self.pieces([x for i, x in enumerate(texts) if i not in cut] + between, kind))
+        out = [np.empty(0, kind) if i in cut else next(got) for i in range(len(texts))]
+        for i, own in cut.items():
+            if own:
+                out[i] = np.concatenate([next(got) if k % 2 == 0 else np.array([self.ids[x]], kind) for k, x in enumerate(own)])
+            else:
+                out[i] = np.array(self.pieces.tokenizer.encode(texts[i], add_special_tokens=False).ids, kind)
+        return out
+
+
+def _pieces(text: str, pattern: str) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)
-    tokenizer.encode_special_tokens = True
     code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     def ids(texts: list[str]) -> list[list[int]]:
@@ -178,7 +216,7 @@ def _library(text: str, pattern: str) -> Pieces:
         return out
 
     pieces = Pieces(pattern, encode, MEMORY)
-    pieces.width = array(code).itemsize
+    pieces.width, pieces.tokenizer = array(code).itemsize, tokenizer
     return pieces
 
 
@@ -188,13 +226,14 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
     Documents are dealt out by ranges of doc_id and sorted in them, equal identifiers by text; null identifiers come first. Null and
     empty texts have the end id only. A task writes shards of about `shard` bytes under names that its partition and number give,
     each to a name of the attempt first and then renamed, so a task that runs again replaces its own shards with equal ones.
-    The library gets each distinct match of its pattern; whole texts give the same ids.
+    The library gets each distinct match of its pattern; whole texts give the same ids, those with added tokens in them too.
+    Texts of any length are encoded whole; rows that repeat are entries as often as they occur; an empty table gives no shard.
     """
     with open(path, encoding="utf-8") as f:
         model = modest(documents).sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, store = kept(("library", len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: _library(model.value, pattern)), None
+        pieces, store = kept(("library", len(model.value), zlib.crc32(model.value.encode()), pattern), lambda: Library(model.value, pattern)), None
         wide = pieces.width
         task, rows, n = TaskContext.get(), [], 0
         now, first, last = Writer(wide), None, None
@@ -216,7 +255,7 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
         closing = np.array([end], f"<u{wide}").tobytes()
         for batch in parts(batches, "text"):
             texts = [x or "" for x in batch["text"].to_pylist()]
-            for doc_id, own in zip(batch["doc_id"].to_pylist(), pieces(texts, f"<u{wide}"), strict=True):
+            for doc_id, own in zip(batch["doc_id"].to_pylist(), pieces(texts), strict=True):
                 if not now.keys:
                     first = doc_id
                 now.add(key_of(doc_id), own.tobytes() + closing)
