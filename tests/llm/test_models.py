@@ -45,11 +45,49 @@ def test_water_filling(spark, seed):
     assert [got[None if i == 8 else f"s{i}"] for i in range(9)] == pytest.approx(want)
 
 
-def test_mixing_query(spark):
+def by_sql(df):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    duck.register("documents", df.toArrow())
+    return sorted(duck.execute(ORACLE_SQL["op3_mixing"]).fetchall(), key=repr)
+
+
+MIXED = ("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def test_mixing_query(spark):
     got = QUERIES["op3_mixing"](spark, DATA)
-    assert sorted(map(tuple, got.collect())) == sorted(duck.execute(ORACLE_SQL["op3_mixing"]).fetchall())
+    assert sorted(map(tuple, got.collect()), key=repr) == by_sql(read(spark, DATA, "documents"))
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "w " * 10, "a")] * 100 + [(2, "w " * 7, "a")],
+    [(None, "w " * 10, "a")] * 100 + [(2, "w " * 16, "a")],
+    [(i, "w " * (20_000 if i == 500 else 100), "a") for i in range(1001)] + [(2000 + i, "w " * 333, "b") for i in range(50)],
+    [(i, "w " * random.Random(i).choice([1, 3, 50, 700, 6000]), random.Random(-i).choice(["a", "b", "c", None])) for i in range(300)],
+], ids=["equal rows", "null ids", "one long text", "many sizes"])
+def test_mixing_is_greedy_and_near(spark, rows):
+    df = texts(spark, rows).repartition(5)
+    got = [tuple(r) for r in mixing.mix(df).select(*MIXED).collect()]
+    assert sorted(got, key=repr) == by_sql(df)
+    for source in {r[5] for r in got}:
+        own = [r for r in got if r[5] == source]
+        spare = [r[1] for r in own if r[4] == own[0][3] // own[0][2] * r[1]]
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= min(spare, default=max(r[1] for r in own)) / 2 and all(r[4] <= 2 * r[1] for r in own)
+    words = Counter()
+    for r in mixing.mixed(df).collect():
+        words[r["source"]] += len((r["text"] or "").split())
+    assert all(abs(words[r[5]] - r[3]) <= 0.03 * r[3] for r in got)
+
+
+def test_mixed_documents_tell_rows_apart(spark):
+    """Rows with one id, one size and other texts or columns are taken by themselves."""
+    rows = [(5, f"t{i % 3} " * 10, "a") for i in range(30)] + [(6, "z " * 9, "a")] * 21 + [(None, None, "a"), (None, "", None)]
+    df = texts(spark, rows).withColumn("extra", F.col("doc_id") * 2).withColumn("size", F.lit("x"))
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(df).collect())
+    target = 1.5 * (30 * 10 + 21 * 9)
+    assert abs(sum(len((t or "").split()) * n for (_, t, _), n in got.items()) - target) <= 5
+    assert all(10 <= got[5, f"t{i} " * 10, "a"] <= 20 for i in range(3)) and 21 <= got[6, "z " * 9, "a"] <= 42 and got[None, None, "a"] == 2
+    assert mixing.mixed(df.limit(0)).count() == 0 and mixing.mixed(df).columns == df.columns
 
 
 def test_mixing_meets_targets_and_repeats(spark):
@@ -349,9 +387,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert lines[1000]["text"].startswith(banner) and not any(lines[1000 + i]["text"].startswith(banner) for i in range(1, 45))
     assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in lines.values()) and {3001, 3002} <= set(lines)
     assert ids["line_dedup"] - ids["ngram_jaccard_join"] >= {2001, 2002, 2003, 2004} and 2000 in ids["ngram_jaccard_join"]
-    want = {r["doc_id"]: r["reps"] for r in mixing.mix(spark.read.parquet(str(tmp_path / "ngram_jaccard_join"))).collect() if r["reps"]}
-    assert Counter(r["doc_id"] for r in steps["mixing"]) == want
-    assert Counter(r["doc_id"] for r in steps["bpe"]) == want
+    taken = Counter(r["doc_id"] for r in steps["mixing"])
+    size = lambda rows: Counter({s: sum(len((r["text"] or "").split()) for r in rows if r["source"] == s) for s in {r["source"] for r in rows}})
+    before, after = size(steps["ngram_jaccard_join"]), size(steps["mixing"])
+    names = sorted(before)
+    for s, want in zip(names, fill([before[x] for x in names], (3, 1, 2), 1.5, 2.0), strict=True):
+        assert abs(after[s] - want) <= 60
+    assert set(taken) <= ids["ngram_jaccard_join"] and max(taken.values()) <= 2
+    assert Counter(r["doc_id"] for r in steps["bpe"]) == taken
 
 
 def test_pipeline_run(spark):
