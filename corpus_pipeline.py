@@ -34,14 +34,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents so often that sources meet their target weights; a document stands in the result as many times."""
-    docs = docs.select(COLUMNS)
-    taken = mixing.mix(docs).where("reps > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "reps", "size")
-    taken = settle(taken.groupBy("_id", "_source", "size").agg(F.max("reps").alias("reps")))
-    own = docs.withColumn("_size", mixing.n_words(F.col("text")))
-    fits = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
-    both = own.join(small(taken), fits).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("reps").cast("int"))))
-    return both.select(COLUMNS)
+    """Takes documents so often that sources meet their target weights; a document stands in the result as many times.
+
+    Null and empty texts have no words: they stay, and count for nothing. A null source is a source. Rows that are equal in all
+    columns are taken as often as fits, others each by itself, with whatever ids. An empty table gives no rows.
+    """
+    return mixing.mixed(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
