@@ -93,6 +93,50 @@ def test_join_threshold_is_exact(spark):
     assert got[1] == (85, 0) and got[2][1] in (0, 2) and got == brute({i: " ".join(t) for i, t in sets.items()})
 
 
+def opposite(n):
+    """A word of a and b and its mirror that polynomials modulo a power of two can't tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_join_tells_built_words_apart(spark):
+    a, b = opposite(2048)
+    assert joined(texts(spark, [(1, a, "x"), (2, b, "x"), (3, f"q {a} r s", "x"), (4, f"q {b} r s", "x"), (5, a.upper(), "x")])) == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 1)}
+
+
+@pytest.mark.parametrize("k,level", [(5, 80), (4, 85)])
+def test_join_with_hot_shingles(spark, monkeypatch, k, level):
+    """Postings of frequent shingles are dealt over several tasks."""
+    monkeypatch.setattr(jaccard_join, "HOT", 10)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", (2, 2, 2))
+    rng = random.Random(11)
+    sentences = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(14)]
+    docs = {i: " ".join(rng.sample(sentences, 8)) for i in range(150)} | family(rng, 30, 100, 9, 300)
+    assert joined(texts(spark, [(i, t, "a") for i, t in docs.items()]), k=k, similarity=level) == brute(docs, k, level)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_pipeline_parameters_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = family(rng, 40, 120, 6, 0) | family(rng, 30, 60, 3, 100) | family(rng, 25, 8, 1, 300) | family(rng, 20, 250, 25, 200)
+    df = texts(spark, [(i, t, "a") for i, t in docs.items()])
+    want = brute(docs, 5, 80)
+    assert joined(df, k=5, similarity=80) == want
+    assert {r["doc_id"] for r in jaccard_join.one_of_each(df, k=5, similarity=80).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
+def test_rows_that_repeat_an_id_are_documents(spark):
+    rng = random.Random(4)
+    t, u, v = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, t, "a"), (5, t, "a"), (5, u, "a"), (5, u, "b"), (7, v, "a"), (None, v, "a"), (None, None, "a"), (None, "", "a")]
+    got = sorted(((r["doc_id"], r["component_id"], r["class_id"]) for r in jaccard_join.near_duplicates(texts(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (5, 1, 1), (5, 5, 5), (5, 5, 5), (7, 7, 7), (None, None, None), (None, None, None), (None, None, None)], key=repr)
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(texts(spark, rows)).collect())
+    assert kept == Counter([(1, t), (5, u), (7, v), (None, None), (None, "")])
+
+
 def test_join_query(spark):
     docs = {r["doc_id"]: r["text"] for r in read(spark, DATA, "documents").collect()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op2_ngram_jaccard_join"](spark, DATA).collect()} == brute(docs)

@@ -23,13 +23,14 @@ COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
 #: all that may still join two components is compared. Rounds after the first look at shingles of components with LARGE members.
 AHEAD, PARTNERS, LARGE = (1, 12, 16), (6, 64, 96), 8
 SEGMENT = 1 << 20
+#: Documents that hold a shingle, beyond which its postings are dealt over several tasks.
+HOT = 20_000
 #: Shingles that sets may have in all to be broadcast: 24 MB.
 BROADCAST_ITEMS = 3_000_000
 
 _U = np.uint64
-_STEP, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.empty(0, _U)
-_inverses = np.empty(0, _U)
+#: Bytes of a word whose random numbers are summed at once.
+STRETCH = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,28 +39,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _series(first: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, first, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+#: A random number for each place in a stretch and byte; A-Z as a-z.
+_RANDOM = mix(np.arange(1, STRETCH * 256 + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)).reshape(STRETCH, 256)
+_RANDOM[:, 65:91] = _RANDOM[:, 97:123]
+_RANDOM = _RANDOM.ravel()
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words in these bytes, and where they start. A word's is a polynomial of its bytes' random numbers, mixed with its length."""
-    global _powers, _inverses
-    if len(data) >= len(_powers):
-        _powers, _inverses = _series(_STEP, len(data) + 1), _series(_BACK, len(data) + 1)
+    """The 64-bit hashes of the words in these bytes, and where they start.
+
+    Each byte has a random number for its place; the sum over a stretch of a word is mixed with the stretch's number, and the sum of
+    those with the word's length. Sums of independent numbers, mixed before they are added up again, have no period or sign
+    that words could be built on; two different words have equal hashes with a probability of about 2 ** -64.
+    """
     gap = _GAP[data]
     edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
-    sums = np.concatenate((np.zeros(1, _U), np.add.accumulate(np.where(gap, _U(0), _BYTE[data] * _powers[: len(data)]))))
-    return mix((sums[end] - sums[start]) * _inverses[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F)), start
+    if not len(start):
+        return np.empty(0, _U), start
+    size = end - start
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # in its word, for each byte of a word
+    numbers = _RANDOM[(place & (STRETCH - 1)) << 8 | data[~gap]]
+    first = np.flatnonzero((place & (STRETCH - 1)) == 0)
+    sums = mix(np.add.reduceat(numbers, first) + (place[first] >> 6).astype(_U) * _U(0x9E3779B97F4A7C15))
+    stretches = -(-size // STRETCH)
+    return mix(np.add.reduceat(sums, np.cumsum(stretches) - stretches) + size.astype(_U) * _U(0xA0761D6478BD642F)), start
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -234,9 +240,35 @@ def _fits(n1: Column, n2: Column, p1: Column, p2: Column, similarity: int) -> Co
     return _enough(F.least(n1, n2), n1, n2, similarity) & _enough(rest, n1, n2, similarity)
 
 
+def _band(n: Column, similarity: int, shift: float = 0.0) -> Column:
+    """A set's band of sizes: sets that link are in the same or in adjacent ones."""
+    return F.floor(F.log(n) / math.log(100 / similarity) + shift).cast("int") if similarity < 100 else n.cast("int")
+
+
+def _dealt(posts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """posts with `ways`: over how many tasks a shingle's postings are dealt, by the frequencies at hand; 1 for nearly all."""
+    keys, counts = common
+    hot = counts > HOT
+    if not hot.any():
+        return posts.withColumn("ways", F.lit(1))
+    table = pa.table({"_top": keys[hot].astype(np.int64), "_ways": (-(-counts[hot] // HOT)).astype(np.int32)})
+    table = posts.sparkSession.createDataFrame(table)
+    own = posts.withColumn("_t", F.shiftrightunsigned("shingle", 64 - COUNT_BITS))
+    return own.join(small(table), F.col("_t") == F.col("_top"), "left").withColumn("ways", F.coalesce("_ways", F.lit(1))).drop("_t", "_top", "_ways")
+
+
+def _share(ways: str, turn: int) -> Column:
+    """Which of the tasks of a shingle a group's posting goes to."""
+    return F.pmod(F.xxhash64("grp", F.lit(turn)), F.col(ways)).cast("int")
+
+
 def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document (doc_id, n, s1, s2); per class of equal sets (n, s1, s2, cls, root), root the least of its component, and cls its least document; the verified links (a, b) of classes."""
-    signed = written(prefixes(modest(documents), frequencies(documents, k), k, similarity), "prefixes")
+    """Per document (doc_id, n, s1, s2); per class of equal sets (n, s1, s2, cls, root), root the least of its component, and cls its least document; links (a, b) of classes.
+
+    Identifiers must not repeat. The links are verified ones that join the same classes as all links do: a spanning part, not all of them.
+    """
+    common = frequencies(documents, k)
+    signed = written(prefixes(modest(documents), common, k, similarity), "prefixes")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
     # classes with the same prefix and size are one group; only identifiers go through these shuffles, not prefixes
     keyed = linked.select("doc_id", "n", "s1", "s2", F.xxhash64("prefix").alias("g1"), F.xxhash64("n", "prefix").alias("g2"))
@@ -248,11 +280,13 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     own = linked.withColumns({"g1": F.xxhash64("prefix"), "g2": F.xxhash64("n", "prefix")}).withColumnRenamed("doc_id", "grp")
     own = own.join(first(groups.select("grp", "g1", "g2")), ["grp", "g1", "g2"])
     posts = own.select("grp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
-    # only shingles that another group of a fitting size holds go on: sorted by size, a neighbour fits if any does
-    by_size = W.partitionBy("shingle").orderBy("n", "grp")
+    posts = _dealt(posts, common)
+    # only shingles that another group of a fitting size holds go on: sorted by size, a neighbour fits if any does; hot ones all do
+    by_size = W.partitionBy("shingle", _share("ways", 0)).orderBy("n", "grp")
     fits = lambda other: F.coalesce(_enough(F.least("n", other), F.col("n"), other, similarity), F.lit(False))
     posts = posts.withColumns({"_before": F.lag("n").over(by_size), "_after": F.lead("n").over(by_size)})
-    posts = written(posts.where(fits(F.col("_before")) | fits(F.col("_after"))).select("shingle", "grp", "n", "place"), "postings")
+    posts = posts.where((F.col("ways") > 1) | fits(F.col("_before")) | fits(F.col("_after")))
+    posts = written(posts.select("shingle", "grp", "n", "place", "ways"), "postings")
     roots: DataFrame | None = None
     links: DataFrame | None = None
 
@@ -280,8 +314,8 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
             held = own.join(small(large), F.col("root") == F.col("_large")).select("shingle").distinct()
             own = own.join(held, "shingle", "left_semi")
         # in an order that differs by shingle and round, each group meets the next ones of about its size
-        step = F.floor(F.log("n") / math.log(100 / similarity) + turn / len(PARTNERS))
-        ring = W.partitionBy("shingle", step).orderBy(F.xxhash64("grp", "shingle", F.lit(turn)))
+        step = _band(F.col("n"), similarity, turn / len(PARTNERS))
+        ring = W.partitionBy("shingle", step, _share("ways", turn)).orderBy(F.xxhash64("grp", "shingle", F.lit(turn)))
         ahead = [F.lead(F.struct("grp", "n", "place", "root"), i + 1).over(ring) for i in range(AHEAD[turn])]
         cand = own.withColumn("_z", F.array(*ahead)).withColumn("z", F.explode("_z"))
         cand = cand.where((F.col("root") != F.col("z.root")) & _fits(F.col("n"), F.col("z.n"), F.col("place"), F.col("z.place"), similarity))
@@ -300,14 +334,21 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     own = own.join(small(settle(spread)), "grp", "left").withColumns({"lo": F.coalesce("lo", "root"), "hi": F.coalesce("hi", "root")})
     mixed = own.groupBy("shingle").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo != _hi").select("shingle")
     own = own.join(mixed, "shingle")
-    x, y = own.alias("x"), own.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.grp") < F.col("y.grp")) & ((F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi"))) & _fits(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), similarity))
+    # sets that link are in the same band of sizes or in adjacent ones; a hot shingle's postings are dealt out on one side and copied on the other
+    band = _band(F.col("n"), similarity)
+    x = own.withColumns({"band": band, "way": _share("ways", 0)}).alias("x")
+    y = own.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("way", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "band", "way")]
+    apart = (F.col("x.grp") < F.col("y.grp")) & (F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi"))
+    near = _fits(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), similarity)
+    pairs = x.join(y, same[0] & same[1] & same[2] & apart & near)
     pairs = settle(pairs.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct())
     many = grouped.select(F.col("grp").alias("_grp"), F.col("cls").alias("_cls"), F.col("root").alias("_r"))
     first = pairs.join(many, F.col("g") == F.col("_grp"), "left").select("g", "h", F.coalesce("_cls", "g").alias("a"), F.col("_r").alias("ra"))
     both = first.join(many, F.col("h") == F.col("_grp"), "left").select(F.col("a"), F.coalesce("_cls", "h").alias("b"), "ra", F.col("_r").alias("rb"))
     both = both.where((F.coalesce("ra", F.lit(-1)) != F.coalesce("rb", F.lit(-2)))).select("a", "b")
-    within = grouped.alias("x").join(grouped.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    inside = (F.col("x.grp") == F.col("y.grp")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+    within = grouped.alias("x").join(grouped.alias("y"), inside).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     left = rooted(rooted(both.union(within), "a", "ra"), "b", "rb").where("ra != rb").select("a", "b").distinct()
     found(left)
     discard(posts)
@@ -315,25 +356,66 @@ def classes_of(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     return signed.select("doc_id", "n", "s1", "s2"), classes, links
 
 
+def numbered(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """documents with _row, a number of its own for each row, and whether that is just doc_id. Rows are numbered, and kept in the shared folder with their
+    numbers, only if an id repeats or is null."""
+    odd = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        return documents.withColumn("_row", F.col("doc_id").cast("long")), True
+    return written(documents.withColumn("_row", F.monotonically_increasing_id()), "rows"), False
+
+
 def near_duplicates(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, class_id.
 
     Two documents link when 100 * shared >= similarity * (shingles in either), k words to a shingle, lower-cased in A-Z. Sets are
-    compared by 64-bit hashes of their shingles. Documents with equal sets are one class (class_id: its least doc_id); classes with
+    compared by 64-bit hashes of their shingles: of two texts with n shingles together, some pair of different ones has equal hashes with a
+    probability of about n ** 2 / 2 ** 65. Documents with equal sets are one class (class_id: its least doc_id); classes with
     the same prefix and size are one group; groups meet at shingles that both have in their prefixes, under size and
     position filters; the members of group pairs are verified. As components are asked for, pairs that earlier links
     have joined already aren't verified again, so a large group of near copies costs about one comparison a member.
 
     Documents without words, null texts included, have n_shingles 0 and link with nothing, their own copies included. Rows without
-    a doc_id link with nothing either and have null ids. Rows that repeat an id are one document of each text. An empty table gives no rows.
+    a doc_id link with nothing either and have null ids. Rows that repeat an id are documents by themselves: each has its own
+    text's component, whose id is the least doc_id in it. Texts of any length are read whole. An empty table gives no rows.
     """
-    documents = documents.select("doc_id", "text")
-    docs, classes, _ = classes_of(documents, k, similarity)
+    rows, plain = numbered(documents.select("doc_id", "text"))
+    got = _rows_joined(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text"), k, similarity)
+    if plain:
+        return got
+    got = got.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_own").join(rows.select("_row", "doc_id"), F.col("_own") == F.col("_row"))
+    for name in ("component_id", "class_id"):
+        least = got.groupBy(name).agg(F.min("doc_id").cast("long").alias("_least")).withColumnRenamed(name, "_name")
+        got = got.join(least, F.col(name) == F.col("_name")).withColumn(name, F.col("_least")).drop("_name", "_least")
+    none = F.lit(None).cast("long")
+    lost = prefixes(rows.where("doc_id IS NULL"), (np.empty(0, _U), np.empty(0, np.int64)), k, similarity)
+    lost = lost.select("doc_id", F.col("n").alias("n_shingles"), none.alias("component_id"), none.alias("class_id"))
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "component_id", "class_id").unionByName(lost)
+
+
+def _rows_joined(rows: DataFrame, k: int, similarity: int) -> DataFrame:
+    """near_duplicates of rows (doc_id, text) whose identifiers don't repeat."""
+    docs, classes, _ = classes_of(rows, k, similarity)
     classes = classes.select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "cls", "root")
     fits = (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & F.col("doc_id").isNotNull()
     got = docs.join(small(classes, BROADCAST_ROWS // 4), fits, "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("cls", "doc_id").alias("class_id"))
 
 
+def one_of_each(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """documents (doc_id, text, ...) without near copies: of each component of links the row with the least doc_id (null last) stays, as do documents without words.
+
+    Here rows count by themselves, whatever their ids: rows with equal or null ids go only if their own text is near that of a row that stays.
+    """
+    rows, plain = numbered(documents)
+    got = _rows_joined(rows.select(F.col("_row").alias("doc_id"), "text"), k, similarity)
+    if not plain:
+        own = got.select("doc_id", "component_id").join(rows.select("_row", F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_row"))
+        first = own.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+        got = own.join(first.withColumnRenamed("component_id", "_c"), F.col("component_id") == F.col("_c")).select("doc_id", F.col("_first._row").alias("component_id"))
+    gone = got.where("component_id != doc_id").select(F.col("doc_id").alias("_gone"))
+    return rows.join(small(settle(gone)), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
