@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from tidemark.llm.common import read, settle, small, written
+from tidemark.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,11 +26,12 @@ def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each component of near copies: five words to a shingle, similarity 0.8."""
-    docs = docs.select(COLUMNS)
-    got = jaccard_join.near_duplicates(docs, k=5, similarity=80)
-    gone = got.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(settle(gone)), F.col("doc_id") == F.col("_gone"), "left_anti").select(COLUMNS)
+    """Keeps one document of each component of near copies, that with the least id: five words to a shingle, similarity 0.8.
+
+    Documents without words, null texts among them, stay. Rows with equal or null ids are documents by themselves, so copies of them
+    go and other texts stay. Texts are compared whole. An empty table gives no rows.
+    """
+    return jaccard_join.one_of_each(docs.select(COLUMNS), k=5, similarity=80).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
