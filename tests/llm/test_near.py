@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,17 +216,79 @@ def test_traversal_visits_cells_by_distance():
         assert index.ranks(x[row : row + 1], cells[5:6])[0] == 5
 
 
+def plain_links(x, cosine=0.95):
+    """vec_id -> (n_links, component_id) by all pairs of one length."""
+    ids = sorted(x)
+    unit = {i: np.array(x[i], float) / np.linalg.norm(x[i]) for i in ids}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(x[a]) == len(x[b]) and unit[a] @ unit[b] >= cosine]
+    n = Counter(i for link in links for i in link)
+    return {i: (n[i], r) for i, r in roots(links, ids).items()}
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    x = {1: [1.0, 0.0], 2: None, 3: [0.0, 0.0], 4: [nan, 1.0], 5: [inf, 1.0], 6: [1.0, None], 7: [1e200, 1e-9], 8: [2.0, 0.0], 9: [1.0, 2.0, 3.0], 10: [], 11: [1e-200, 0.0]}
+    x = {1: [1.0, 0.0], 2: None, 3: [0.0, 0.0], 4: [nan, 1.0], 5: [inf, 1.0], 6: [1.0, None], 7: [1e200, 1e-9], 8: [2.0, 0.0], 9: [1.0, 2.0, 3.0], 10: [], 11: [1e-200, 0.0], 12: [1.0, 2.0, 3.1], 13: [5.0], 14: [-1.0], 15: [2.0]}
     df = vectors(spark, x).withColumn("n", F.lit("?")).withColumn("cls", F.lit(1))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()}
-    assert all(got[i] == (0, i, True) for i in (2, 3, 4, 5, 6, 9, 10))
+    assert all(got[i] == (0, i, True) for i in (2, 3, 4, 5, 6, 10, 14))
     assert got[1] == (3, 1, True) and got[8] == (3, 1, False) and got[7][0] == got[11][0] == 3
+    assert got[9] == (1, 9, True) and got[12] == (1, 9, False) and got[13] == (1, 13, True) and got[15] == (1, 13, False)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
     assert embeddings.near_duplicates(vectors(spark, {1: [0.0]})).first()["n_links"] == 0
 
 
+def test_vectors_with_null_and_equal_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.01]), (4, [0.0, 1.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect())
+    assert got[None, 0, None, False] == 1 and got[4, 1, 4, True] == 2 and sum(got.values()) == 5
+
+
+def test_vectors_of_several_lengths_use_an_index_each(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "FEW", 30)
+    rng = np.random.default_rng(9)
+    x = {}
+    for d, start in ((8, 0), (12, 1000)):
+        for i in range(150):
+            x[start + i] = rng.normal(size=d).tolist()
+        for i in range(50):
+            x[start + 500 + i] = (np.array(x[start + i]) + rng.normal(scale=0.08, size=d)).tolist()
+    x |= {5000 + i: rng.normal(size=3).tolist() for i in range(25)}
+    want = plain_links(x)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(vectors(spark, x)).collect()}
+    assert sum(got[i] != want[i] for i in x) <= 4 and all(got[i] == want[i] for i in x if i >= 5000)
+
+
+def test_vectors_query(spark):
+    x = {r["vec_id"]: list(r["embedding"]) for r in read(spark, DATA, "embeddings").collect()}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op4_embedding_near_dedup"](spark, DATA).collect()} == plain_links(x)
+
+
+@pytest.mark.parametrize("pairs", [0, 3000])
+def test_recall_of_planted_pairs_over_many_rows(spark, pairs):
+    """24,000 clustered vectors; pairs planted from the threshold upwards, or only so few that probing hardly sees any."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 24_000)] * 0.7 + rng.normal(size=(24_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = max(pairs, 200)
+    away = rng.normal(size=(n, 32))
+    away -= (away * x[:n]).sum(1, keepdims=True) * x[:n]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.99 if pairs else 0.955, size=(n, 1))
+    x = np.concatenate((x, cosine * x[:n] + np.sqrt(1 - cosine**2) * away))
+    near = np.zeros(len(x), np.int64)
+    for k in range(0, len(x), 2000):
+        near[k : k + 2000] = (x[k : k + 2000] @ x.T >= 0.95).sum(1) - 1
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 32).cast(pa.list_(pa.float64()))})
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(table).repartition(8)).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near).all() and found.sum() >= 0.96 * near.sum() > 0
+
+
+def test_codebooks_grow_with_the_rows():
+    assert [embeddings.codes_for(n) for n in (0, 12_000, 10**9, 10**11)] == [2, 32, 9129, 91287]
+
+
 def similarity(a, b):
     x, y = shingles(a, 5), shingles(b, 5)
     return len(x & y) / len(x | y) if x | y else 1.0
