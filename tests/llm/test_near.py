@@ -315,6 +315,50 @@ def test_fingerprints_over_many_stretches(spark):
     assert [r["next_text"] for r in rows] == [r["text"] for r in rows[1:]] + [rows[0]["text"]]
 
 
+def test_fingerprints_with_hot_identifiers(spark):
+    rows = [(None, f"text {i % 60} without an id {i % 60}", "a") for i in range(120)] + [(7, f"row {i} of the seventh", "a") for i in range(90)] + [(i, f"own {i}", "a") for i in range(-20, 20)]
+    got = fingerprints.with_next(texts(spark, rows).select("doc_id", "text").repartition(6), ["doc_id", "text"], stretch=8).collect()
+    key = {t: h for t, h in spark.createDataFrame([(r[1],) for r in rows], "text string").selectExpr("text", "xxhash64(text)").collect()}
+    order = sorted(((-(1 << 63) if i is None else i, key[t], t, i) for i, t, _ in rows))
+    want = Counter(((a[3], a[2]), (b[3], b[2])) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter(((r["doc_id"], r["text"]), (r["next_doc_id"], r["next_text"])) for r in got) == want
+
+
+def plain_signature(spark, found, lg=7, words=5, bits=8):
+    """One permutation by hand: the least hash of each bin; an empty bin borrows from the full one that a hash of both bins' numbers puts first."""
+    import itertools
+
+    schema = "x string"
+    tokens = [re.split(r"[\x20\x09-\x0D]+", lower(t).strip(" \t\n\x0b\x0c\r")) for t in found]
+    names = sorted({w for own in tokens for w in own})
+    of = dict(spark.createDataFrame([(w,) for w in names], schema).selectExpr("x", "xxhash64(x)").collect())
+    runs = {tuple(of[w] for w in own[i : i + words]) for own in tokens for i in range(max(1, len(own) - words + 1))}
+    hashed = {}
+    for n, some in itertools.groupby(sorted(runs, key=len), key=len):
+        some = list(some)
+        call = f"xxhash64({', '.join(f'h[{i}]' for i in range(n))})" if n == words else "xxhash64(h)"
+        hashed |= {tuple(h): x for h, x in spark.createDataFrame([(list(r),) for r in some], "h array<bigint>").selectExpr("h", call).collect()}
+    half = 1 << lg - 1
+    grid = [(i, j) for i in range(-half, half) for j in range(-half, half)]
+    lend = {(i, j): x for i, j, x in spark.createDataFrame(grid, "i long, j long").selectExpr("i", "j", "xxhash64(i, j)").collect()}
+    out = []
+    for own in tokens:
+        least = {}
+        for i in range(max(1, len(own) - words + 1)):
+            h = hashed[tuple(of[w] for w in own[i : i + words])]
+            least[h >> 64 - lg] = min(least.get(h >> 64 - lg, h), h)
+        bins = [least[i] if i in least else least[min(least, key=lambda j: (lend[i, j], least[j]))] for i in range(-half, half)]
+        out.append("".join(f"{x & (1 << bits) - 1:02x}" for x in bins))
+    return out
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    docs = [r["text"] for r in read(spark, DATA, "documents").orderBy("doc_id").limit(25).collect() if r["text"] and r["text"].strip()] + ["one two", "A b C d E f G"]
+    df = fingerprints.with_signature(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), "text", "sig")
+    got = [r["f"] for r in df.select("doc_id", fingerprints.packed(F.col("sig")).alias("f")).orderBy("doc_id").collect()]
+    assert got == plain_signature(spark, docs)
+
+
 def test_fingerprints_odd_rows(spark, odd, empty):
     got = fingerprints.fingerprints(odd).collect()
     by = {r["doc_id"]: r for r in got}
@@ -334,11 +378,11 @@ def plain_strip(rows, sites, words):
     sources, first = defaultdict(set), {}
     lines = [(i, s, p, x.strip(" \t\r\x0b\x0c")) for i, t, s in rows if t is not None for p, x in enumerate(t.split("\n"))]
     for i, s, p, x in lines:
-        if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= words:
+        if re.findall(r"[^\x20\x09-\x0D]+", x):
             if s is not None:
                 sources[x].add(s)
             first[x] = min(first.get(x, (i, p)), (i, p))
-    bad = {x for x, s in sources.items() if len(s) >= sites}
+    bad = {x for x, s in sources.items() if len(s) >= sites * (1 if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= words else 2)}
     out = {}
     for i, t, _ in rows:
         own = [] if t is None else t.split("\n")
@@ -352,11 +396,19 @@ def test_lines_equal_a_plain_version(spark):
     common = [f"common line number {i} of the sites" for i in range(12)]
     rows = []
     for i in range(300):
-        own = [rng.choice(common[: 1 + i % 12]) if rng.random() < 0.5 else f"line {rng.randint(0, 60)} that some have too" for _ in range(rng.randint(0, 6))] + ["short"] * (i % 2)
-        rows.append((i, "\n".join(own) if i % 50 else None, f"s{i % 14}" if i % 9 else None))
+        own = [rng.choice(common[: 1 + i % 12]) if rng.random() < 0.5 else f"line {rng.randint(0, 60)} that some have too" for _ in range(rng.randint(0, 6))] + ["short"] * (i % 2) + ["All rights reserved."] * (i % 3 == 0) + [" "]
+        rows.append((i, "\n".join(own) if i % 50 else None, f"s{i % 23}" if i % 10 else None))
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in line_dedup.strip(texts(spark, rows), sites=10).collect()}
     want = plain_strip(rows, 10, 5)
     assert got == want and Counter(bool(n) for _, n, _ in want.values())[True] > 50
+    assert sum((t or "").count("All rights") for _, _, t in want.values()) == 1 and sum((t or "").count("short") for _, _, t in want.values()) > 0
+
+
+def test_many_places_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PLACES", 0)
+    rows = [(i, f"own {i}\nthe same line on every site\nend", f"s{i % 12}") for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.strip(texts(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own {i}\nend" for i in range(1, 40))
 
 
 def test_lines_query(spark):

@@ -83,31 +83,57 @@ def in_stretches(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return docs
 
 
+def _split(docs: DataFrame, stretch: int) -> DataFrame:
+    """docs with _part, which ascends in a bucket with (_k, _t): 0 but for identifiers that many rows have, null ones too. Those rows are cut by ranges of their texts' hash _t."""
+    docs = docs.withColumn("_t", F.xxhash64("text"))
+    wide = settle(docs.groupBy("_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * stretch))
+    hot = settle(docs.join(small(wide.select("_bucket")), "_bucket").groupBy("_k").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * stretch))
+    if hot.isEmpty():
+        return docs.withColumn("_part", F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("own"), F.lit(0).alias("range")))
+    # before the hot identifiers of a bucket, at one of them, or between two: the order of parts is that of _k
+    ways = F.ceil(F.col("_n") / stretch).cast("int")
+    table = hot.select(F.col("_k").alias("_hot"), ways.alias("_ways"))
+    docs = docs.join(small(table), F.col("_k") == F.col("_hot"), "left")
+    keys = hot.join(docs.select("_k", "_bucket").distinct(), "_k").groupBy("_bucket").agg(F.sort_array(F.collect_set("_k")).alias("_keys"))
+    docs = docs.join(small(settle(keys)), "_bucket", "left")
+    own = F.when(F.col("_keys").isNull(), F.lit(None).cast("long")).otherwise(F.array_max(F.filter("_keys", lambda x: x <= F.col("_k"))))
+    place = F.least(F.col("_ways") - 1, F.floor((F.col("_t").cast("double") / 2.0**64 + 0.5) * F.col("_ways")))
+    part = F.struct(
+        F.when(own.isNull(), 0).otherwise(1).alias("side"), F.coalesce(own, F.lit(0)).alias("own"), F.when(F.col("_ways").isNull(), 1 << 30).otherwise(place).cast("int").alias("range")
+    )
+    return docs.withColumn("_part", part).drop("_hot", "_ways", "_keys")
+
+
 def with_next(docs: DataFrame, columns: list[str], stretch: int = STRETCH) -> DataFrame:
-    """docs with next_<column> of the document that follows by doc_id (equal identifiers: by text), the first after the last.
+    """docs with next_<column> of the document that follows by doc_id (null first; equal identifiers: by a hash of the text, then the text), the first after the last.
 
     One shuffle deals out stretches of the order; each also gets a copy of the first document of the next stretch, as its last row.
+    An identifier that many rows share, null included, is cut into stretches by that hash; only rows that share the text as well stand in one.
     """
-    docs = in_stretches(docs, stretch)
-    firsts = docs.groupBy("_bucket").agg(F.min("_k").alias("_first"))
-    order = W.orderBy("_bucket")
+    docs = _split(in_stretches(docs, stretch), stretch)
+    order = W.orderBy("_bucket", "_part")
     # one row a stretch; the first follows the last
-    prior = F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(W.partitionBy()))
-    firsts = settle(firsts.select("_first", prior.alias("_prior")))
-    both = docs.join(small(firsts), F.col("_k") == F.col("_first"), "left")
-    here = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("tail"))
-    ahead = F.struct(F.col("_prior").alias("b"), F.lit(True).alias("tail"))
-    both = both.withColumn("_to", F.explode(F.when(F.col("_prior").isNull(), F.array(here)).otherwise(F.array(here, ahead))))
-    both = both.withColumn("_at", F.col("_to.b")).withColumn("_tail", F.col("_to.tail")).drop("_to", "_first", "_prior", "_bucket")
-    follow = W.partitionBy("_at").orderBy("_tail", "_k", "text")
-    return both.withColumns({f"next_{c}": F.lead(c).over(follow) for c in columns}).where(~F.col("_tail")).drop("_at", "_tail", "_k")
+    firsts = docs.groupBy("_bucket", "_part").agg(F.min(F.struct("_k", "_t")).alias("_first"))
+    here = F.struct("_bucket", "_part")
+    prior = F.coalesce(F.lag(here).over(order), F.max(here).over(W.partitionBy()))
+    firsts = settle(firsts.select(F.col("_bucket").alias("_b"), F.col("_part").alias("_p"), "_first", prior.alias("_prior")))
+    same = (F.col("_bucket") == F.col("_b")) & (F.col("_part") == F.col("_p")) & (F.struct("_k", "_t") == F.col("_first"))
+    both = docs.join(small(firsts), same, "left")
+    ahead = F.struct(F.col("_prior").alias("at"), F.lit(True).alias("tail"))
+    stay = F.struct(here.alias("at"), F.lit(False).alias("tail"))
+    both = both.withColumn("_to", F.explode(F.when(F.col("_prior").isNull(), F.array(stay)).otherwise(F.array(stay, ahead))))
+    both = both.withColumns({"_at": F.col("_to.at"), "_tail": F.col("_to.tail")}).drop("_to", "_first", "_prior", "_b", "_p")
+    follow = W.partitionBy("_at").orderBy("_tail", "_k", "_t", "text")
+    return both.withColumns({f"next_{c}": F.lead(c).over(follow) for c in columns}).where(~F.col("_tail")).drop("_at", "_tail", "_k", "_t", "_bucket", "_part")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text has the last quarter of the code points replaced by the first of the next document. A null text is an empty
-    one; a text without words has the empty fingerprint. A table of one document has itself as the next. Other columns are ignored.
+    The edited text has the last quarter of the code points replaced by the first of the next document; the order is that of `with_next`: null
+    identifiers first, equal ones by their texts' hashes, so that results don't depend on the rows' places. A null text is an empty
+    one; a text without words has the empty fingerprint. Texts of any length are read whole; rows that repeat follow each other. A table of
+    one document has itself as the next, an empty one gives no rows. Other columns are ignored.
     """
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_signature(docs, "text", "sig")
