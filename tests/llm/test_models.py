@@ -397,6 +397,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r["doc_id"] for r in steps["bpe"]) == taken
 
 
+def through(spark, docs, tmp_path, name="run"):
+    """docs through all stages, each written and read again: the rows of each step."""
+    steps = []
+    for stage_name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}-{stage_name}"))
+        docs = spark.read.parquet(str(tmp_path / f"{name}-{stage_name}"))
+        steps.append(docs.collect())
+    return steps
+
+
+def test_pipeline_on_odd_tables(spark, odd, tmp_path):
+    """Repeated rows, equal ids with other texts, null ids, and an empty table."""
+    docs, labels = labelled(spark, 200)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(2)
+    t, u, v = (" ".join(rng.choices(CLEAN, k=50) + [f"{c}{i}" for i in range(40)]) for c in "xyz")
+    rows = [(1, t, "a"), (5, t, "a"), (5, u, "a"), (None, v, "b"), (None, v, "b"), (None, None, "b"), (8, "", None), (9, "", None), (9, "", None)]
+    own = texts(spark, rows).withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "size": F.lit("?"), "_row": F.lit(1)})
+    toxic, lines, near, mixed, coded = through(spark, own, tmp_path)
+    assert len(toxic) == len(lines) == 9
+    assert Counter((r["doc_id"], r["text"]) for r in near) == Counter([(1, t), (5, u), (None, v), (None, None), (8, ""), (9, ""), (9, "")])
+    assert Counter(r["doc_id"] for r in coded) == Counter(r["doc_id"] for r in mixed) and {r["text"] for r in mixed} == {t, u, v, None, ""}
+    none = through(spark, own.limit(0), tmp_path, "none")
+    assert [len(x) for x in none] == [0] * 5
+
+
+def test_pipeline_takes_repeated_rows_as_often_as_they_fit(spark, tmp_path):
+    """102 documents of one source, which has one and a half times its words as the target."""
+    rows = [(1, "w " * 10, "a")] * 100 + [(2, "v " * 10, "a"), (3, "u " * 10, "a")]
+    own = texts(spark, rows).withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    got = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, own, str(tmp_path)).collect())
+    assert sum(got.values()) == 153 and all(1 <= got[i] <= 2 for i in (2, 3))
+
+
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -152,7 +152,7 @@ def mix(documents: DataFrame, weights=WEIGHTS, total: float = TOTAL, epochs: flo
 
 
 def mixed(documents: DataFrame, weights=WEIGHTS, total: float = TOTAL, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The documents (doc_id, text, source, ...) themselves, each as often as `mix` takes it; only rows that are equal in all columns are one unit here.
+    """The documents (doc_id, text, source, ...) themselves, each as often as `mix` takes it, those without words once; only rows that are equal in all columns are one unit here.
 
     How often a row is taken is found from the row and its source's passes, so texts aren't shuffled; but for the few units of
     which only some copies are taken: of those the copies, which are equal, become one row that is repeated.
@@ -165,7 +165,8 @@ def mixed(documents: DataFrame, weights=WEIGHTS, total: float = TOTAL, epochs: f
     partly = settle(partly.join(units.select("_key", "source", "copies"), "_key").where(_same("_source", "source")).select(F.col("_source").alias("_s"), F.col("_key").alias("_k"), "some", "copies"))
     rows = rows.withColumn("_key", _key(seed, "_content")).join(small(plan, SOURCES), _same("source", "_source"))
     rows = rows.join(small(partly, SOURCES), _same("source", "_s") & (F.col("_key") == F.col("_k")), "left")
-    whole = rows.where("some IS NULL").withColumn("reps", F.col("_whole") + F.when(in_pass(), 1).otherwise(0)).select("_row", "reps")
+    reps = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_whole") + F.when(in_pass(), 1).otherwise(0))
+    whole = rows.where("some IS NULL").withColumn("reps", reps.cast("long")).select("_row", "reps")
     some = rows.where("some IS NOT NULL").groupBy("source", "_key").agg(F.first("_row").alias("_row"), F.first(F.col("_whole") * F.col("copies") + F.col("some")).alias("reps"))
     both = whole.unionByName(some.select("_row", "reps")).where("reps > 0")
     return both.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps").cast("long")))).select("_row.*")
