@@ -2,32 +2,74 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import SESSION, SessionSpec
 
-#: Fixed values for the covered years: days without a session, and closes before the usual one (minute of the local day).
-HOLIDAYS = {2024: ("2024-01-01", "2024-03-29", "2024-12-25"), 2025: ("2025-01-01", "2025-04-18", "2025-12-25")}
-EARLY = {
-    "2024-01-15": 780, "2024-02-19": 780, "2024-05-27": 780, "2024-06-19": 780, "2024-07-03": 795, "2024-07-04": 780, "2024-09-02": 780, "2024-11-28": 780, "2024-11-29": 795, "2024-12-24": 795,
-    "2025-01-20": 780, "2025-02-17": 780, "2025-05-26": 780, "2025-06-19": 780, "2025-07-03": 795, "2025-07-04": 780, "2025-09-01": 780, "2025-11-27": 780, "2025-11-28": 795, "2025-12-24": 795,
-}
-SPECIAL = {"2025-01-09": (570, "national day of mourning")}
+#: Years that the rules below are known to hold for.
+YEARS = range(2021, 2027)
+#: Closes that follow no rule (minute of the local day). On these Good Fridays the market opened for the monthly employment report.
+REPORT_FRIDAYS = {"2021-04-02": 555, "2023-04-07": 555, "2026-04-03": 555}
+SPECIAL = {"2025-01-09": (570, "CME_SER_9499R_national_day_of_mourning")}
+EARLY_CLOSE, EVE_CLOSE = 780, 795
+
+
+def _nth(year: int, month: int, weekday: int, n: int) -> date:
+    """The n-th such weekday of a month, from its end if n is negative."""
+    days = [d for i in range(31) if (d := date(year, month, 1) + timedelta(i)).month == month and d.weekday() == weekday]
+    return days[n - 1 if n > 0 else n]
+
+
+def _easter(year: int) -> date:
+    """Easter Sunday: the first Sunday after the full moon of the Gregorian lunar calendar on or after 21 March."""
+    century, golden = year // 100, year % 19
+    epact = (14 + 11 * golden - century * 3 // 4 + (5 + 8 * century) // 25) % 30
+    epact += 1 if epact == 0 or (epact == 1 and golden > 10) else 0
+    moon = date(year, 4, 19) - timedelta(epact)
+    return moon + timedelta(6 - moon.weekday() if moon.weekday() < 6 else 7)
+
+
+def _observed(day: date) -> date:
+    """A holiday of the weekend stands on the Friday before or the Monday after."""
+    return day + timedelta({5: -1, 6: 1}.get(day.weekday(), 0))
+
+
+def holidays_of(year: int) -> list[str]:
+    """Days without a session: New Year's Day (not moved to the old year), Good Friday but for the listed ones, Christmas."""
+    new_year = date(year, 1, 1)
+    out = [_easter(year) - timedelta(2), _observed(date(year, 12, 25))]
+    if new_year.weekday() != 5:
+        out.append(_observed(new_year))
+    return sorted(str(d) for d in out if str(d) not in REPORT_FRIDAYS)
+
+
+def early_closes_of(year: int) -> dict[str, int]:
+    """Closes before the usual one: federal holidays, the days around two of them, and the listed Fridays."""
+    july, juneteenth = _observed(date(year, 7, 4)), _observed(date(year, 6, 19))
+    thanks = _nth(year, 11, 3, 4)
+    out = {d: EARLY_CLOSE for d in (_nth(year, 1, 0, 3), _nth(year, 2, 0, 3), _nth(year, 5, 0, -1), july, _nth(year, 9, 0, 1), thanks)}
+    if year >= 2022:
+        out[juneteenth] = EARLY_CLOSE
+    eves = [thanks + timedelta(1), date(year, 12, 24)] + ([date(year, 7, 3)] if july == date(year, 7, 4) else [])
+    out |= {d: EVE_CLOSE for d in eves if d.weekday() < 5 and d not in out and d != _observed(date(year, 12, 25))}
+    return {str(d): m for d, m in sorted(out.items())} | {d: m for d, m in REPORT_FRIDAYS.items() if d.startswith(str(year))}
 
 
 def schedule(spark: SparkSession, first: date, last: date, spec: SessionSpec = SESSION, holidays=None, early=None, special=None) -> DataFrame:
     """One row for each expected session: session_date, open_utc, close_utc, rth_open_utc, expected_minutes, expected_rth_minutes, is_early_close, override, note.
 
-    Years without a list of holidays fail: a session is never assumed to be a full one.
+    Years that the rules aren't known to hold for fail unless holidays are given: a session is never assumed to be a full one.
     """
+    years = range(first.year, last.year + 1)
     if holidays is None:
-        if missing := [y for y in range(first.year, last.year + 1) if y not in HOLIDAYS]:
+        if missing := [y for y in years if y not in YEARS]:
             raise ValueError(f"no calendar for {missing}")
-        holidays = [d for y in range(first.year, last.year + 1) for d in HOLIDAYS[y]]
-    early = EARLY if early is None else early
+        holidays = [d for y in years for d in holidays_of(y)]
+        early = {d: m for y in years for d, m in early_closes_of(y).items()} if early is None else early
+    early = early or {}
     special = SPECIAL if special is None else special
     closes = {**{d: (m, False, None) for d, m in early.items()}, **{d: (m, True, n) for d, (m, n) in special.items()}}
     days = spark.sql("SELECT explode(sequence(DATE'%s', DATE'%s')) AS session_date" % (first, last)).where(F.weekday("session_date") < 5)
