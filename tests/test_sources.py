@@ -119,3 +119,13 @@ def test_stream_first_event(spark, tmp_path):
     query = stream.write_stream(stream.first_events(source, "k", "v", 3.0), str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
     query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("k", "v")) == [("a", 3.0)]
+
+
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.range(5), path, order=["id"])
+    with pytest.raises(Exception, match="no"):
+        sinks.write_table(spark.range(5).select(F.raise_error(F.lit("no")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+    sinks.write_table(spark.range(7), path)
+    assert spark.read.parquet(path).count() == 7 and not list(tmp_path.glob("t.*.old"))

@@ -7,6 +7,7 @@ import json
 import os
 import platform
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 import pyspark
@@ -15,14 +16,35 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, order: Iterable[str] = (), partition_by: Iterable[str] = (), row_group_bytes: int | None = None) -> None:
-    """zstd Parquet in time order within files: ranges of the order, sorted in tasks; no single task sees all rows. The committer's rename makes it atomic."""
+    """zstd Parquet in time order within files: ranges of the order, sorted in tasks; no single task sees all rows.
+
+    The table is written beside its place first. Only a whole one is moved there, the old one aside until then and put back if the move fails, so a
+    failed job loses neither.
+    """
     order, by = list(order), list(partition_by)
     if order:
         df = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
-    out = df.write.mode("overwrite").option("compression", "zstd")
+    own = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    out = df.write.option("compression", "zstd")
     if row_group_bytes:
         out = out.option("parquet.block.size", row_group_bytes)
-    (out.partitionBy(*by) if by else out).parquet(path)
+    (out.partitionBy(*by) if by else out).parquet(f"{own}.new")
+    _swap(df, f"{own}.new", path, f"{own}.old")
+
+
+def _swap(df: DataFrame, new: str, path: str, aside: str) -> None:
+    spark = df.sparkSession
+    here, fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, new, aside))
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    was = files.exists(here)
+    if was and not files.rename(here, old):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(fresh, here):
+        if was:
+            files.rename(old, here)
+        raise OSError(f"{new} can't be moved to {path}")
+    if was:
+        files.delete(old, True)
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
