@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,33 +98,76 @@ def classified(gap_runs: DataFrame, first_day: Column, roll_days: list[str], ear
     return gap_runs.withColumn("classification", kind)
 
 
-def session_records(expected: DataFrame, observed: DataFrame, invalid: DataFrame | None = None, roll_days: tuple[str, ...] = ()) -> DataFrame:
+#: Reasons to exclude a session, in their order, and how grave each is. Fixed values; missing bars are critical if none was observed.
+REASONS = {
+    "missing_expected_minutes": "high", "timestamps_outside_expected_session": "high", "observed_noncalendar_session": "high", "invalid_bar_values": "critical",
+    "conflicting_duplicate_bars": "critical", "multiple_contracts_within_session": "high", "roll_boundary_session": "high",
+}
+
+
+def session_records(
+    expected: DataFrame, observed: DataFrame, invalid: DataFrame | None = None, roll_days: tuple[str, ...] = (), sessions: DataFrame | None = None, copies: DataFrame | None = None,
+    minutes: int = 1, splits: Sequence[tuple] = (),
+) -> DataFrame:
     """A record for each expected or observed session.
 
-    expected: session_date, ts. observed: session_date, ts, and optionally symbol. invalid: session_date of each invalid row.
-    Reasons are in a fixed order; any excludes the whole session; exact duplicates alone leave it usable as corrected.
+    expected: session_date, ts. observed: session_date, ts, and optionally symbol. invalid: session_date of each invalid row. sessions: the
+    calendar. copies: session_date, exact_removed and conflicting of each key that stood more than once (as from `duplicates`); without it, rows
+    that share an instant count as exact copies. minutes: of a bar. splits: name, first and last day.
+    Reasons are in a fixed order; any excludes the whole session; exact copies alone leave it usable as corrected. The severity is the gravest of the reasons'.
     """
     have = observed.withColumn("symbol", F.col("symbol") if "symbol" in observed.columns else F.lit("-"))
-    seen = have.groupBy("session_date").agg(F.count("*").alias("observed_rows"), F.countDistinct("ts").alias("observed_unique"), F.countDistinct("symbol").alias("symbol_count"))
+    seen = have.groupBy("session_date").agg(F.count("*").alias("observed_rows"), F.countDistinct("ts").alias("observed_unique"))
+    seen = seen.join(symbols_by_session(have.withColumn("_tie", F.col("symbol")), "symbol", "ts", "_tie"), "session_date", "left")
     due = expected.groupBy("session_date").agg(F.count("*").alias("expected_bars"), F.count_if(clock.is_rth(F.col("ts"))).alias("expected_rth_bars"))
     gone = missing(expected, observed)
-    lost = gone.groupBy("session_date").agg(F.count("*").alias("missing_bars"), F.count_if(clock.is_rth(F.col("ts"))).alias("missing_rth_bars"), F.min("ts").alias("first_missing_utc"), F.max("ts").alias("last_missing_utc"))
-    extra = unexpected(expected, observed).groupBy("session_date").agg(F.count("*").alias("unexpected_bars"))
-    out = due.join(seen, "session_date", "full_outer").join(lost, "session_date", "left").join(extra, "session_date", "left")
-    bad = invalid.groupBy("session_date").agg(F.count("*").alias("invalid_rows")) if invalid is not None else None
-    out = out.join(bad, "session_date", "left") if bad is not None else out.withColumn("invalid_rows", F.lit(0).cast("long"))
-    counts = ["expected_bars", "expected_rth_bars", "observed_rows", "observed_unique", "symbol_count", "missing_bars", "missing_rth_bars", "unexpected_bars", "invalid_rows"]
-    out = out.withColumn("expected_session", F.col("expected_bars").isNotNull()).withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
-    out = out.withColumn("duplicate_rows", F.col("observed_rows") - F.col("observed_unique"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("missing_bars") > 0, "missing_bars"), F.when((F.col("unexpected_bars") > 0) | ~F.col("expected_session"), "outside_session"),
-        F.when(F.col("invalid_rows") > 0, "invalid_values"), F.when(F.col("symbol_count") > 1, "multiple_contracts"),
-        F.when(F.col("session_date").cast("string").isin(list(roll_days)) if roll_days else F.lit(False), "roll_boundary"),
-    ))
-    out = out.withColumn("exclusion_reasons", F.array_join(reasons, "|"))
-    status = F.when(F.col("exclusion_reasons") != "", "excluded").when(F.col("duplicate_rows") > 0, "corrected").otherwise("pass")
+    lost = gone.groupBy("session_date").agg(
+        F.count("*").alias("missing_bars"), F.count_if(clock.is_rth(F.col("ts"))).alias("missing_rth_bars"), F.min("ts").alias("first_missing_utc"), F.max("ts").alias("last_missing_utc")
+    )
+    longest = runs(gone, minutes).groupBy("session_date").agg(F.max("minutes").alias("largest_missing_run_minutes"))
+    extra = unexpected(expected, observed).groupBy("session_date").agg(F.countDistinct("ts").alias("unexpected_bars"))
+    out = due.join(seen, "session_date", "full_outer")
+    for more in (lost, longest, extra):
+        out = out.join(more, "session_date", "left")
+    if invalid is not None:
+        out = out.join(invalid.groupBy("session_date").agg(F.count("*").alias("invalid_rows")), "session_date", "left")
+    if copies is not None:
+        twice = copies.groupBy("session_date").agg(F.sum("exact_removed").alias("exact_duplicate_rows_removed"), F.count_if("conflicting").alias("conflicting_duplicate_keys"))
+        out = out.join(twice, "session_date", "left")
+    else:
+        out = out.withColumn("exact_duplicate_rows_removed", F.col("observed_rows") - F.col("observed_unique"))
+    counts = [
+        "expected_bars", "expected_rth_bars", "observed_rows", "observed_unique", "symbol_count", "contract_transitions", "missing_bars", "missing_rth_bars",
+        "unexpected_bars", "invalid_rows", "exact_duplicate_rows_removed", "conflicting_duplicate_keys", "largest_missing_run_minutes",
+    ]
+    out = out.withColumn("expected_session", F.col("expected_bars").isNotNull())
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in out.columns else F.lit(0).cast("long") for c in counts})
+    holds = {
+        "missing_expected_minutes": F.col("missing_bars") > 0,
+        "timestamps_outside_expected_session": F.col("expected_session") & (F.col("unexpected_bars") > 0),
+        "observed_noncalendar_session": ~F.col("expected_session"),
+        "invalid_bar_values": F.col("invalid_rows") > 0,
+        "conflicting_duplicate_bars": F.col("conflicting_duplicate_keys") > 0,
+        "multiple_contracts_within_session": (F.col("symbol_count") > 1) | (F.col("contract_transitions") > 0),
+        "roll_boundary_session": F.col("session_date").cast("string").isin(list(roll_days)) if roll_days else F.lit(False),
+    }
+    out = out.withColumn("exclusion_reasons", numbers.codes(**holds))
+    status = F.when(F.col("exclusion_reasons") != "", "excluded").when(F.col("exact_duplicate_rows_removed") > 0, "corrected").otherwise("pass")
     out = out.withColumn("quality_status", status).withColumn("session_usable", F.col("quality_status") != "excluded")
-    return out.withColumn("severity", F.when(F.col("quality_status") == "excluded", F.when(F.col("missing_rth_bars") > 0, "high").otherwise("medium")).when(F.col("quality_status") == "corrected", "low").otherwise("none"))
+    nothing = F.when((F.col("missing_bars") > 0) & (F.col("missing_bars") == F.col("expected_bars")), "critical")
+    grave = [F.when(holds[k], v) for k, v in REASONS.items()]
+    out = out.withColumn("severity", numbers.max_severity(nothing, *grave, F.when(F.col("quality_status") == "corrected", "low")))
+    if splits:
+        out = out.withColumn("split", clock.split_label(F.col("session_date"), splits))
+    if sessions is not None:
+        local = lambda c: clock.iso_local(F.col(c))
+        known = sessions.select(
+            "session_date", F.col("open_utc").alias("expected_open_utc"), F.col("close_utc").alias("expected_close_utc"), local("open_utc").alias("expected_open_et"),
+            local("close_utc").alias("expected_close_et"), "is_early_close", F.col("override").alias("calendar_override"), F.coalesce("note", F.lit("")).alias("calendar_note"),
+        )
+        out = out.join(known, "session_date", "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_early_close", "calendar_override")}).withColumn("calendar_note", F.coalesce("calendar_note", F.lit("")))
+    return out
 
 
 def quality_summary(records: DataFrame) -> DataFrame:
@@ -130,6 +175,7 @@ def quality_summary(records: DataFrame) -> DataFrame:
     return records.agg(
         F.count("*").alias("sessions"), F.count_if("session_usable").alias("usable_sessions"), F.count_if(~F.col("session_usable")).alias("excluded_sessions"),
         F.sum("observed_rows").alias("observed_rows"), F.sum("missing_bars").alias("missing_bars"), F.count_if(F.col("severity") == "high").alias("high_severity"),
+        F.count_if(F.col("severity") == "critical").alias("critical_severity"),
     )
 
 

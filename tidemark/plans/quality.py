@@ -135,21 +135,52 @@ def gap_classification(spark, d):
     return ql.classified(ql.runs(ql.missing(_expected(spark), all_bars(spark, d)), 15), F.lit(date(2024, 1, 2)), ["2024-01-17"], early).select("session_date", "start_utc", "minutes", "classification")
 
 
-def _records(spark, d):
-    return ql.session_records(_expected(spark), all_bars(spark, d), roll_days=("2024-01-17",))
-
-
-REC = f"""{BARS15}, {CAL}, mis AS (SELECT * FROM exb WHERE ts NOT IN (SELECT ts FROM all_bars)), unx AS (SELECT * FROM all_bars WHERE ts NOT IN (SELECT ts FROM exb)),
-due AS (SELECT session_date, count(*) AS expected_bars FROM exb GROUP BY 1), seen AS (SELECT session_date, count(*) AS observed_rows FROM all_bars GROUP BY 1),
-gone AS (SELECT session_date, count(*) AS missing_bars, count(*) FILTER (WHERE hour(ts - INTERVAL 5 HOURS) * 60 + minute(ts) BETWEEN 570 AND 959) AS missing_rth_bars FROM mis GROUP BY 1), ex AS (SELECT session_date, count(*) AS unexpected_bars FROM unx GROUP BY 1),
-rec0 AS (SELECT session_date, coalesce(expected_bars, 0) AS expected_bars, coalesce(observed_rows, 0) AS observed_rows, coalesce(missing_bars, 0) AS missing_bars, coalesce(missing_rth_bars, 0) AS missing_rth_bars, coalesce(unexpected_bars, 0) AS unexpected_bars, expected_bars IS NOT NULL AS expected_session
-  FROM due FULL JOIN seen USING (session_date) LEFT JOIN gone USING (session_date) LEFT JOIN ex USING (session_date)),
-rec AS (SELECT *, concat_ws('|', CASE WHEN missing_bars > 0 THEN 'missing_bars' END, CASE WHEN unexpected_bars > 0 OR NOT expected_session THEN 'outside_session' END, CASE WHEN session_date = DATE '2024-01-17' THEN 'roll_boundary' END) AS exclusion_reasons FROM rec0)"""
+ROLL_DAYS = ("2024-01-17",)
+SPLITS = [("development", date(2024, 1, 1), date(2024, 1, 12)), ("validation", date(2024, 1, 15), date(2024, 1, 24))]
 
 
-@C.add(f"WITH {REC} SELECT {s('session_date')}, expected_session, expected_bars, observed_rows, missing_bars, missing_rth_bars, unexpected_bars, exclusion_reasons, CASE WHEN exclusion_reasons <> '' THEN 'excluded' ELSE 'pass' END AS quality_status, exclusion_reasons = '' AS session_usable, CASE WHEN exclusion_reasons = '' THEN 'none' WHEN missing_rth_bars > 0 THEN 'high' ELSE 'medium' END AS severity FROM rec")
+def _records(spark, d):
+    """All reasons have a session: contracts change within two, values are invalid on another, events stand twice with other values on two more."""
+    own = all_bars(spark, d)
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    symbol = F.when(F.col("ts") < at("2024-01-11 15:00:00"), "XXH4").when(F.col("ts") < at("2024-01-22 15:00:00"), "XXM4").otherwise("XXU4")
+    invalid = own.where("session_date = DATE'2024-01-09' AND clock BETWEEN 600 AND 660").select("session_date")
+    copies = ql.duplicates(_twice(spark, d), ["event_id"], ["ts", "value", "event_type"]).join(events(spark, d).select("event_id", "ts"), "event_id")
+    copies = copies.withColumn("session_date", F.to_date("ts")).where("session_date BETWEEN DATE'2024-01-23' AND DATE'2024-01-25' AND (NOT conflicting OR day(session_date) < 25)")
+    sessions = calendar.schedule(spark, FIRST, LAST)
+    seen = own.withColumn("symbol", symbol).where("session_date != DATE'2024-01-26'")
+    return ql.session_records(calendar.expected_bars(sessions, 15), seen, invalid, ROLL_DAYS, sessions, copies, 15, SPLITS)
+
+
+REC = f"""{BARS15}, {CAL}, {TWICE}, ob AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11 15:00:00' THEN 'XXH4' WHEN ts < TIMESTAMP '2024-01-22 15:00:00' THEN 'XXM4' ELSE 'XXU4' END AS symbol FROM all_bars WHERE session_date <> DATE '2024-01-26'),
+mis AS (SELECT * FROM exb WHERE ts NOT IN (SELECT ts FROM ob)), unx AS (SELECT * FROM ob WHERE ts NOT IN (SELECT ts FROM exb)),
+due AS (SELECT session_date, count(*) AS expected_bars FROM exb GROUP BY 1),
+mv AS (SELECT *, symbol <> lag(symbol) OVER (PARTITION BY session_date ORDER BY ts) AS moved FROM ob),
+seen AS (SELECT session_date, count(*) AS observed_rows, count(DISTINCT symbol) AS symbol_count, string_agg(DISTINCT symbol, '|' ORDER BY symbol) AS symbols, count(*) FILTER (WHERE moved) AS contract_transitions FROM mv GROUP BY 1),
+gone AS (SELECT session_date, count(*) AS missing_bars, count(*) FILTER (WHERE hour(ts - INTERVAL 5 HOURS) * 60 + minute(ts) BETWEEN 570 AND 959) AS missing_rth_bars, min(ts) AS first_missing_utc, max(ts) AS last_missing_utc FROM mis GROUP BY 1),
+isl AS (SELECT session_date, ts - to_minutes(CAST(15 * row_number() OVER (PARTITION BY session_date ORDER BY ts) AS BIGINT)) AS g FROM mis), lr AS (SELECT session_date, max(c) * 15 AS largest FROM (SELECT session_date, count(*) AS c FROM isl GROUP BY session_date, g) GROUP BY 1),
+ex AS (SELECT session_date, count(DISTINCT ts) AS unexpected_bars FROM unx GROUP BY 1),
+inv AS (SELECT session_date, count(*) AS invalid_rows FROM all_bars WHERE session_date = DATE '2024-01-09' AND clock BETWEEN 600 AND 660 GROUP BY 1),
+dk AS (SELECT event_id, CAST(min(ts) AS DATE) AS session_date, count(*) AS k, count(DISTINCT value) AS v FROM tw GROUP BY event_id HAVING count(*) > 1),
+dup AS (SELECT session_date, sum(CASE WHEN v = 1 THEN k - 1 ELSE 0 END) AS exact_removed, count(*) FILTER (WHERE v > 1) AS conflicting FROM dk WHERE session_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-25' AND (v = 1 OR day(session_date) < 25) GROUP BY 1),
+rec0 AS (SELECT session_date, coalesce(expected_bars, 0) AS expected_bars, coalesce(observed_rows, 0) AS observed_rows, coalesce(missing_bars, 0) AS missing_bars, coalesce(missing_rth_bars, 0) AS missing_rth_bars, coalesce(unexpected_bars, 0) AS unexpected_bars, expected_bars IS NOT NULL AS expected_session,
+    coalesce(symbol_count, 0) AS symbol_count, symbols, coalesce(contract_transitions, 0) AS contract_transitions, coalesce(invalid_rows, 0) AS invalid_rows, coalesce(exact_removed, 0) AS exact_removed, coalesce(conflicting, 0) AS conflicting, first_missing_utc, last_missing_utc, coalesce(largest, 0) AS largest
+  FROM due FULL JOIN seen USING (session_date) LEFT JOIN gone USING (session_date) LEFT JOIN ex USING (session_date) LEFT JOIN inv USING (session_date) LEFT JOIN dup USING (session_date) LEFT JOIN lr USING (session_date)),
+rec1 AS (SELECT *, concat_ws('|', CASE WHEN missing_bars > 0 THEN 'missing_expected_minutes' END, CASE WHEN expected_session AND unexpected_bars > 0 THEN 'timestamps_outside_expected_session' END, CASE WHEN NOT expected_session THEN 'observed_noncalendar_session' END,
+    CASE WHEN invalid_rows > 0 THEN 'invalid_bar_values' END, CASE WHEN conflicting > 0 THEN 'conflicting_duplicate_bars' END, CASE WHEN symbol_count > 1 OR contract_transitions > 0 THEN 'multiple_contracts_within_session' END, CASE WHEN session_date = DATE '2024-01-17' THEN 'roll_boundary_session' END) AS exclusion_reasons FROM rec0),
+rec AS (SELECT *, CASE WHEN exclusion_reasons <> '' THEN 'excluded' WHEN exact_removed > 0 THEN 'corrected' ELSE 'pass' END AS quality_status,
+    CASE WHEN (missing_bars > 0 AND missing_bars = expected_bars) OR invalid_rows > 0 OR conflicting > 0 THEN 'critical' WHEN exclusion_reasons <> '' THEN 'high' WHEN exact_removed > 0 THEN 'low' ELSE 'none' END AS severity FROM rec1)"""
+RECORD = [
+    "session_date", "expected_session", "expected_bars", "observed_rows", "missing_bars", "missing_rth_bars", "unexpected_bars", "invalid_rows", "exact_duplicate_rows_removed", "conflicting_duplicate_keys", "symbol_count",
+    "symbols", "contract_transitions", "first_missing_utc", "last_missing_utc", "largest_missing_run_minutes", "exclusion_reasons", "quality_status", "session_usable", "severity", "split", "is_early_close", "calendar_override",
+]
+
+
+@C.add(f"""WITH {REC} SELECT {s('session_date')}, expected_session, expected_bars, observed_rows, missing_bars, missing_rth_bars, unexpected_bars, invalid_rows, exact_removed::BIGINT AS exact_duplicate_rows_removed, conflicting AS conflicting_duplicate_keys, symbol_count, symbols, contract_transitions,
+ {t('first_missing_utc')}, {t('last_missing_utc')}, largest::BIGINT AS largest_missing_run_minutes, exclusion_reasons, quality_status, exclusion_reasons = '' AS session_usable, severity,
+ CASE WHEN session_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-12' THEN 'development' WHEN session_date BETWEEN DATE '2024-01-15' AND DATE '2024-01-24' THEN 'validation' ELSE 'outside_research' END AS split, session_date = DATE '2024-01-15' AS is_early_close, false AS calendar_override FROM rec""")
 def session_quality(spark, d):
-    return _records(spark, d).select("session_date", "expected_session", "expected_bars", "observed_rows", "missing_bars", "missing_rth_bars", "unexpected_bars", "exclusion_reasons", "quality_status", "session_usable", "severity")
+    return _records(spark, d).select(*RECORD)
 
 
 @C.add(f"WITH {REC} SELECT unnest(string_split(exclusion_reasons, '|')) AS reason, count(*) AS sessions FROM rec WHERE exclusion_reasons <> '' GROUP BY 1")
@@ -157,11 +188,22 @@ def exclusion_reasons(spark, d):
     return _records(spark, d).where("exclusion_reasons != ''").select(F.explode(F.split("exclusion_reasons", r"\|")).alias("reason")).groupBy("reason").agg(F.count("*").alias("sessions"))
 
 
-@C.add(f"WITH {REC} SELECT count(*) AS sessions, count(*) FILTER (WHERE exclusion_reasons = '') AS usable_sessions, count(*) FILTER (WHERE exclusion_reasons <> '') AS excluded_sessions, sum(observed_rows)::BIGINT AS observed_rows, sum(missing_bars)::BIGINT AS missing_bars, count(*) FILTER (WHERE exclusion_reasons <> '' AND missing_rth_bars > 0) AS high_severity FROM rec")
+@C.add(f"""WITH {REC} SELECT count(*) AS sessions, count(*) FILTER (WHERE exclusion_reasons = '') AS usable_sessions, count(*) FILTER (WHERE exclusion_reasons <> '') AS excluded_sessions, sum(observed_rows)::BIGINT AS observed_rows, sum(missing_bars)::BIGINT AS missing_bars,
+ count(*) FILTER (WHERE severity = 'high') AS high_severity, count(*) FILTER (WHERE severity = 'critical') AS critical_severity FROM rec""")
 def quality_summary(spark, d):
     return ql.quality_summary(_records(spark, d))
 
 
+@C.add("""WITH days AS (SELECT CAST(range AS DATE) AS session_date FROM range(TIMESTAMP '2026-01-01', TIMESTAMP '2027-01-01', INTERVAL 1 DAY)),
+early(d, m) AS (VALUES (DATE '2026-01-19', 780), (DATE '2026-02-16', 780), (DATE '2026-04-03', 555), (DATE '2026-05-25', 780), (DATE '2026-06-19', 780), (DATE '2026-07-03', 780), (DATE '2026-09-07', 780), (DATE '2026-11-26', 780), (DATE '2026-11-27', 795), (DATE '2026-12-24', 795)),
+c AS (SELECT session_date, coalesce(m, 1020) AS cm FROM days LEFT JOIN early ON d = session_date WHERE isodow(session_date) < 6 AND session_date NOT IN (DATE '2026-01-01', DATE '2026-12-25'))
+SELECT session_date::VARCHAR AS session_date, strftime(timezone('UTC', timezone('America/New_York', CAST(session_date AS TIMESTAMP) - INTERVAL 6 HOURS)), '%Y-%m-%d %H:%M:%S') AS open_utc, strftime(timezone('UTC', timezone('America/New_York', CAST(session_date AS TIMESTAMP) + to_minutes(cm))), '%Y-%m-%d %H:%M:%S') AS close_utc,
+ (cm + 360)::BIGINT AS expected_minutes, greatest(0, least(cm, 960) - 570)::BIGINT AS expected_rth_minutes, cm <> 1020 AS is_early_close FROM c""")
+def calendar_year(spark, d):
+    """A year with daylight saving, holidays of the weekend, and early closes."""
+    return calendar.schedule(spark, date(2026, 1, 1), date(2026, 12, 31)).select("session_date", "open_utc", "close_utc", "expected_minutes", "expected_rth_minutes", "is_early_close")
+
+
 @C.add("""WITH e AS (SELECT CAST(ts AS DATE) AS session_date, event_type, ts, event_id, event_type <> lag(event_type) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS mv FROM events),
 f AS (SELECT session_date, event_type, min(ts) AS f FROM e GROUP BY ALL), g AS (SELECT session_date, count(*) FILTER (WHERE mv) AS k FROM e GROUP BY 1)
 SELECT session_date::VARCHAR AS session_date, string_agg(event_type, '|' ORDER BY f.f) AS symbols, count(*) AS symbol_count, any_value(k) AS contract_transitions FROM f JOIN g USING (session_date) GROUP BY session_date""")
