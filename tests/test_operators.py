@@ -150,17 +150,37 @@ def test_resampled_does_not_depend_on_layout(spark):
 
 
 def test_hypotheses(spark):
-    families = [{"family": "clock", "kind": "fixed_clock", "anchors": list(range(13)), "horizons": [30]}, {"family": "gap", "kind": "directional", "horizons": [30, 60]}, {"family": "or", "kind": "directional", "horizons": [30, 60]}, {"family": "b1", "kind": "range_break", "horizons": [15, 30]}, {"family": "b2", "kind": "range_break", "horizons": [15, 30]}]
-    got = events.hypotheses(spark, families)
-    assert got.count() == 21 == got.select("hypothesis_id").distinct().count()
+    from tidemark.plans import studies
+
+    got = [r["hypothesis_id"] for r in events.hypotheses(spark, studies.FAMILIES).collect()]
+    assert len(got) == 21 == len(set(got)) and {"rth_fixed_clock_30m__0930_1000", "rth_fixed_clock_30m__1530_1600", "reference_level_break_response__overnight_range__15m"} <= set(got)
+    assert events.hypotheses(spark, studies.FAMILIES_V2).count() == 4
+    with pytest.raises(ValueError):
+        events.hypotheses(spark, [studies.FAMILIES[1]] * 2)
+
+
+RESULT = "hypothesis_id string, n long, clusters long, years long, mean_bps double, boot_low double, boot_high double, sign_flip_p double, direction_p double"
 
 
 def test_ledger_keeps_insufficient_tests(spark):
-    tests = events.hypotheses(spark, [{"family": "f", "kind": "fixed_clock", "anchors": [1, 2, 3], "horizons": [5]}])
-    res = spark.createDataFrame([("f__1__5m", 200, 1.0, 0.5, 1.5, 0.001, 0.001), ("f__2__5m", 10, 1.0, 0.5, 1.5, 0.001, 0.001)], "hypothesis_id string, n long, mean_bps double, boot_low double, boot_high double, sign_flip_p double, p_value double")
-    got = {r["hypothesis_id"]: r for r in nf.ledger(tests, res).collect()}
-    assert len(got) == 3 and got["f__1__5m"]["advances"] and got["f__1__5m"]["q_value"] == pytest.approx(0.001)
-    assert got["f__2__5m"]["result"] == "insufficient_sample" and not got["f__2__5m"]["bh_reject"] and got["f__3__5m"]["q_value"] is None
+    tests = events.hypotheses(spark, [{"family": "f", "kind": "fixed_clock", "anchors": [0, 30, 60, 90], "horizons": [30]}, {"family": "g", "kind": "directional", "horizons": [30]}])
+    res = [("f__0930_1000", 200, 90, 1, 1.0, 0.5, 1.5, 0.001, 0.9), ("f__1000_1030", 10, 9, 1, 1.0, 0.5, 1.5, 0.001, 0.9), ("f__1030_1100", 200, 90, 1, -1.0, -1.5, -0.5, 0.001, 0.9), ("g__30m", 200, 90, 1, 1.0, -0.5, 1.5, 0.9, 0.001)]
+    got = {r["hypothesis_id"]: r for r in nf.ledger(tests, spark.createDataFrame(res, RESULT)).collect()}
+    assert len(got) == 5 and got["f__0930_1000"]["advances"] and got["f__0930_1000"]["q_value"] == pytest.approx(0.001)
+    assert got["f__1030_1100"]["result"] == "advances_to_phase7"  # wholly below zero
+    assert got["f__1000_1030"]["result"] == "insufficient_sample" and not got["f__1000_1030"]["bh_reject"] and got["f__1100_1130"]["q_value"] is None
+    assert got["g__30m"]["p_value"] == 0.001 and got["g__30m"]["bh_reject"] and got["g__30m"]["result"] == "does_not_advance"
+
+
+def test_second_wave(spark):
+    small = nf.Inference(min_sample=20)
+    tests = events.hypotheses(spark, [{"family": "v", "kind": "volatility_state", "horizons": [15, 30]}, {"family": "p", "kind": "pressure", "horizons": [5, 15]}])
+    arms = spark.createDataFrame([("v__15m", 40, 25, 25, 2.0, 1.0, 3.0, 0.001), ("v__30m", 40, 45, 5, 2.0, 1.0, 3.0, 0.001)], "hypothesis_id string, clusters long, n_high long, n_low long, difference_bps double, boot_low double, boot_high double, p_value double")
+    one = spark.createDataFrame([("p__5m", 30, 30, 1, -1.0, -2.0, -0.5, 0.5, 0.002), ("p__15m", 30, 30, 1, 1.0, -2.0, 0.5, 0.5, 0.002)], RESULT)
+    before = spark.createDataFrame([(f"o{i}", 0.1 + 0.04 * i) for i in range(21)], "hypothesis_id string, p_value double")
+    got = {r["hypothesis_id"]: r for r in nf.ledger_v2(tests, arms, one, before, small).collect()}
+    assert got["v__15m"]["advances"] and got["v__30m"]["result"] == "insufficient_sample" and not got["v__30m"]["cumulative_reject"]
+    assert got["p__5m"]["advances"] and got["p__15m"]["result"] == "does_not_advance" and got["p__5m"]["cumulative_q"] == pytest.approx(0.002 * 25 / 4)
 
 
 def test_calendar(spark):
@@ -168,6 +188,9 @@ def test_calendar(spark):
     assert "2024-12-25" not in got and "2025-01-01" not in got and "2024-12-28" not in got
     assert (got["2024-12-24"]["expected_minutes"], got["2025-01-09"]["expected_minutes"], got["2024-12-23"]["expected_minutes"]) == (1155, 930, 1380)
     assert got["2025-01-09"]["override"] and got["2024-12-24"]["is_early_close"]
+    far = {str(r["session_date"]): r for r in calendar.schedule(spark, date(2026, 1, 1), date(2026, 12, 31)).collect()}
+    assert (far["2026-01-05"]["open_utc"].hour, far["2026-07-06"]["open_utc"].hour, far["2026-07-03"]["expected_minutes"]) == (23, 22, 1140) and far["2026-07-03"]["is_early_close"]
+    assert [str(calendar._easter(y)) for y in (1999, 2000, 2019, 2024, 2038)] == ["1999-04-04", "2000-04-23", "2019-04-21", "2024-03-31", "2038-04-25"]
     with pytest.raises(ValueError, match="no calendar"):
         calendar.schedule(spark, date(1990, 1, 1), date(1990, 2, 1))
     summer = calendar.schedule(spark, date(2024, 7, 8), date(2024, 7, 8)).first()
@@ -181,8 +204,18 @@ def test_gaps_and_records(spark):
     gaps = quality.runs(quality.missing(expected, seen), 60).orderBy("start_utc").collect()
     assert [(r["minutes"], r["rth_overlap"]) for r in gaps] == [(120, False), (60, True)]
     rec = {str(r["session_date"]): r for r in quality.session_records(expected, seen.unionAll(seen.limit(0)), roll_days=("2024-01-09",)).collect()}
-    assert rec["2024-01-08"]["exclusion_reasons"] == "missing_bars" and rec["2024-01-08"]["severity"] == "high"
-    assert rec["2024-01-09"]["exclusion_reasons"] == "roll_boundary"
+    assert rec["2024-01-08"]["exclusion_reasons"] == "missing_expected_minutes" and rec["2024-01-08"]["severity"] == "high"
+    assert rec["2024-01-09"]["exclusion_reasons"] == "roll_boundary_session"
+    copies = spark.createDataFrame([(date(2024, 1, 8), 1, False), (date(2024, 1, 9), 0, True)], "session_date date, exact_removed long, conflicting boolean")
+    both = {str(r["session_date"]): r for r in quality.session_records(expected, expected, copies=copies, sessions=day, minutes=60).collect()}
+    assert (both["2024-01-08"]["quality_status"], both["2024-01-08"]["severity"]) == ("corrected", "low")
+    assert (both["2024-01-09"]["quality_status"], both["2024-01-09"]["severity"], both["2024-01-09"]["session_usable"]) == ("excluded", "critical", False)
+    assert both["2024-01-08"]["expected_open_et"].startswith("2024-01-07T18:00:00-05:00")
+    nothing = {str(r["session_date"]): r["severity"] for r in quality.session_records(expected, seen.where("session_date = DATE'2024-01-08'")).collect()}
+    assert nothing == {"2024-01-08": "high", "2024-01-09": "critical"}
+    back = expected.withColumn("symbol", F.when(F.hour("ts") == 5, "B").otherwise("A"))
+    moved = quality.session_records(expected, back).first()
+    assert moved["contract_transitions"] == 2 and moved["symbols"] == "A|B" and moved["exclusion_reasons"] == "multiple_contracts_within_session"
     twice = quality.session_records(expected, expected.unionAll(expected.where("hour(ts) = 5")))
     assert {r["quality_status"] for r in twice.collect()} == {"corrected"}
 

@@ -10,30 +10,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import INFERENCE
+from tidemark.config import SESSION as SPEC
 from tidemark.functions import clock, numbers
 
 SESSION = ("session_date",)
 
 
 def hypotheses(spark: SparkSession, families: Sequence[dict]) -> DataFrame:
-    """One row for each test: hypothesis_id, family_id, kind, horizon_minutes, entry_minute, direction, threshold. Made from settings on the driver.
+    """One row for each test, made from settings on the driver: hypothesis_id, family_id, kind, horizon_minutes, entry_minute, reference, threshold, null.
 
-    fixed_clock: anchors x horizons. directional: feature, least absolute bps, horizons. range_break: reference, first and
-    last minute, horizons. volatility_state and pressure: as in their operators.
+    fixed_clock: anchors x horizons, named by their clocks in regular hours. directional: feature, least absolute bps, horizons. range_break:
+    references (none: one without a name), horizons. volatility_state and pressure: horizons. `null` is how a p value comes about: signs flipped for fixed
+    clocks, states permuted for volatility states, directions permuted for all others.
     """
+    label = lambda m: f"{(SPEC.rth_open + m) // 60 % 24:02d}{(SPEC.rth_open + m) % 60:02d}"
     rows = []
     for f in families:
+        null = {"fixed_clock": "sign_flip", "volatility_state": "state"}.get(f["kind"], "direction")
         for h in f["horizons"]:
-            for a in f.get("anchors", [None]):
-                tail = f"{a}__" if a is not None else ""
-                rows.append((f"{f['family']}__{tail}{h}m", f["family"], f["kind"], h, a, f.get("direction"), f.get("threshold")))
-    return spark.createDataFrame(rows, "hypothesis_id string, family_id string, kind string, horizon_minutes int, entry_minute int, direction string, threshold double")
+            for a in f.get("anchors", [f.get("anchor")]):
+                for r in f.get("references", [None]):
+                    tail = f"{label(a)}_{label(a + h)}" if f["kind"] == "fixed_clock" else f"{r}__{h}m" if r else f"{h}m"
+                    rows.append((f"{f['family']}__{tail}", f["family"], f["kind"], h, a, r, f.get("threshold"), null))
+    if len({r[0] for r in rows}) < len(rows):
+        raise ValueError("names of hypotheses repeat")
+    return spark.createDataFrame(rows, "hypothesis_id string, family_id string, kind string, horizon_minutes int, entry_minute int, reference string, threshold double, null string")
 
 
-def fixed_clock(outcomes: DataFrame, family: str, anchors: list[int], horizon: int) -> DataFrame:
-    """The outcome at each anchor of each session; the effect is the return itself."""
+def fixed_clock(outcomes: DataFrame, family: str, anchors: list[int], horizon: int, scope: str = "RTH") -> DataFrame:
+    """The outcome at each anchor of each session, named by its clocks in the scope; the effect is the return itself."""
     got = outcomes.where(F.col("clock_minute").isin(anchors) & (F.col("horizon_minutes") == horizon))
-    return got.select(F.concat(F.lit(f"{family}__"), F.col("clock_minute").cast("string"), F.lit(f"__{horizon}m")).alias("hypothesis_id"), "session_date", F.col("clock_minute").alias("entry_minute"), F.lit(1).alias("direction"), "return_bps", F.col("return_bps").alias("effect_bps"))
+    hhmm = lambda m: F.replace(clock.clock_label(F.lit(scope), m), F.lit(":"), F.lit(""))
+    return got.select(F.concat(F.lit(f"{family}__"), hhmm(F.col("clock_minute")), F.lit("_"), hhmm(F.col("clock_minute") + horizon)).alias("hypothesis_id"), "session_date", F.col("clock_minute").alias("entry_minute"), F.lit(1).alias("direction"), "return_bps", F.col("return_bps").alias("effect_bps"))
 
 
 def directional(outcomes: DataFrame, signals: DataFrame, family: str, entry: int, horizons: list[int], least_bps: float) -> DataFrame:
@@ -142,4 +150,4 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def labels(ledger: DataFrame) -> DataFrame:
     """The readable name of each hypothesis: its horizon by pattern, its family by a map that keeps unknown names."""
-    return ledger.withColumn("horizon", F.nullif(F.regexp_extract("hypothesis_id", r"__(\d+)m$", 1), F.lit("")).cast("int")).withColumn("entry_label", F.when(F.col("entry_minute").isNotNull(), clock.clock_label(F.lit("RTH"), F.col("entry_minute"))))
+    return ledger.withColumn("horizon", F.coalesce(F.nullif(F.regexp_extract("hypothesis_id", r"__(\d+)m$", 1), F.lit("")).cast("int"), "horizon_minutes")).withColumn("entry_label", F.when(F.col("entry_minute").isNotNull(), clock.clock_label(F.lit("RTH"), F.col("entry_minute"))))

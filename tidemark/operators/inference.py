@@ -117,8 +117,15 @@ def stratified_p(values: np.ndarray, first_arm: np.ndarray, strata: np.ndarray,
     return p_value(x[g].mean() - x[~g].mean(), np.concatenate(null), alternative)
 
 
+RESAMPLED = (
+    "hypothesis_id string, n long, clusters long, mean_bps double, median_bps double, sd_bps double, positive_rate double, years long, first_session string, last_session string, "
+    "boot_low double, boot_high double, sign_flip_p double, direction_p double"
+)
+
+
 def resampled(events: DataFrame, settings: Inference = INFERENCE, base: int | None = None, replicates: int | None = None) -> DataFrame:
-    """events (hypothesis_id, session_date, entry_minute, direction, return_bps, effect_bps): for each hypothesis n, mean, bootstrap interval, and p by sign flips and by permuted directions.
+    """events (hypothesis_id, session_date, entry_minute, direction, return_bps, effect_bps): for each hypothesis its moments and sessions, a bootstrap interval of the mean, and p
+    by sign flips of the effects and by directions permuted among the returns. Which p counts is the hypothesis's null (`ledger`).
 
     A group is one hypothesis's events, at most a few per session; rows are sorted inside, so that draws don't depend on the layout.
     """
@@ -126,15 +133,16 @@ def resampled(events: DataFrame, settings: Inference = INFERENCE, base: int | No
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["session_date", "entry_minute", "effect_bps"], kind="stable")
-        x, name = rows["effect_bps"].to_numpy(float), key[0]
+        x, name, day = rows["effect_bps"].to_numpy(float), key[0], rows["session_date"]
         low, high = bootstrap_interval(x, level, k, seed_of(seed, name, "bootstrap"))
         flip = sign_flip_p(x, k, seed_of(seed, name, "sign_flip"))
         turn = direction_p(rows["return_bps"].to_numpy(float), rows["direction"].to_numpy(float), k, seed_of(seed, name, "direction"))
-        mixed = rows["direction"].nunique() > 1
-        return pd.DataFrame([(name, len(x), float(np.mean(x)) if len(x) else None, low, high, flip, turn if mixed else flip)], columns=["hypothesis_id", "n", "mean_bps", "boot_low", "boot_high", "sign_flip_p", "p_value"])
+        spread = float(np.std(x, ddof=1)) if len(x) > 1 else None
+        own = (name, len(x), day.nunique(), float(np.mean(x)), float(np.median(x)), spread, float(np.mean(x > 0)), day.str[:4].nunique(), day.min(), day.max(), low, high, flip, turn)
+        return pd.DataFrame([own], columns=[c.split()[0] for c in RESAMPLED.split(", ")])
 
     slim = events.select("hypothesis_id", F.col("session_date").cast("string").alias("session_date"), "entry_minute", "direction", "return_bps", "effect_bps")
-    return slim.groupBy("hypothesis_id").applyInPandas(run, "hypothesis_id string, n long, mean_bps double, boot_low double, boot_high double, sign_flip_p double, p_value double")
+    return slim.groupBy("hypothesis_id").applyInPandas(run, RESAMPLED)
 
 
 def contrasted(events: DataFrame, settings: Inference = INFERENCE, replicates: int | None = None) -> DataFrame:
@@ -172,28 +180,51 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", family: list[str] |
     return own.withColumn(reject, F.coalesce(F.col(q) <= alpha, F.lit(False))).drop("_p", "_m", "_rank", "_raw")
 
 
-def result_label(reject: Column, enough: Column, mean: Column) -> Column:
-    return F.when(~enough, "insufficient_sample").when(reject & (mean > 0), "supported").when(reject, "contradicted").otherwise("not_rejected")
+def decided(got: DataFrame, enough: Column, settings: Inference = INFERENCE, also: Column | None = None) -> DataFrame:
+    """Tests with results (family_id, p_value, boot_low, boot_high) -> q_value within families, sample_sufficient, bh_reject, ci_excludes_zero, advances, result.
+
+    A test without a sufficient sample still counts among its family's p values, but isn't rejected. One goes on if it is rejected, its interval lies wholly
+    above or wholly below zero, and `also` holds. Results are labelled by fixed values.
+    """
+    got = benjamini_hochberg(got, "p_value", ["family_id"], settings.alpha).withColumn("sample_sufficient", F.coalesce(enough, F.lit(False)))
+    away = F.coalesce((F.col("boot_low") > 0) | (F.col("boot_high") < 0), F.lit(False))
+    got = got.withColumns({"bh_reject": F.col("bh_reject") & F.col("sample_sufficient"), "ci_excludes_zero": away & F.col("sample_sufficient")})
+    got = got.withColumn("advances", F.col("bh_reject") & F.col("ci_excludes_zero") & (F.lit(True) if also is None else F.coalesce(also, F.lit(False))))
+    label = F.when(~F.col("sample_sufficient"), "insufficient_sample").when(F.col("advances"), "advances_to_phase7").otherwise("does_not_advance")
+    return got.withColumn("result", label)
+
+
+def p_by_null() -> Column:
+    """The p value that a hypothesis's null calls for."""
+    return F.when(F.col("null") == "sign_flip", F.col("sign_flip_p")).otherwise(F.col("direction_p"))
 
 
 def ledger(tests: DataFrame, results: DataFrame, settings: Inference = INFERENCE) -> DataFrame:
-    """Every registered test with its result: family q values, rejection only with a sufficient sample (tests without one still count in m), and whether it goes on."""
-    got = tests.join(results, "hypothesis_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    got = benjamini_hochberg(got, "p_value", ["family_id"], settings.alpha).withColumn("sample_sufficient", F.col("n") >= settings.min_sample)
-    got = got.withColumn("bh_reject", F.col("bh_reject") & F.col("sample_sufficient"))
-    got = got.withColumn("advances", F.coalesce(F.col("bh_reject") & (F.col("boot_low") > 0), F.lit(False)))
-    return got.withColumn("result", result_label(F.col("bh_reject"), F.col("sample_sufficient"), F.col("mean_bps")))
+    """Every registered test with its result, those without events too."""
+    got = tests.join(results, "hypothesis_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "clusters", "years")})
+    return decided(got.withColumn("p_value", p_by_null()), F.col("n") >= settings.min_sample, settings)
+
 
+def ledger_v2(tests: DataFrame, contrasts: DataFrame, responses: DataFrame, before: DataFrame, settings: Inference = INFERENCE) -> DataFrame:
+    """The second wave: contrasts of two arms (`contrasted`) and responses with a direction (`resampled`), q values within families, and over both waves together.
 
-def ledger_v2(tests: DataFrame, results: DataFrame, before: DataFrame, settings: Inference = INFERENCE) -> DataFrame:
-    """The second wave: sufficient clusters and arms, family q values, and q values over both waves together; all three gates must hold to go on."""
-    got = benjamini_hochberg(tests.join(results, "hypothesis_id", "left"), "p_value", ["family_id"], settings.alpha)
+    A sample is sufficient by its observations and its sessions, and, only where there are arms, by each of them. To go on, a test must be rejected in its family and over both
+    waves, and its interval must leave out zero.
+    """
+    least = settings.min_sample
+    arms = contrasts.select(
+        "hypothesis_id", (F.col("n_high") + F.col("n_low")).alias("n"), "clusters", "n_high", "n_low", F.col("difference_bps").alias("mean_bps"), "boot_low", "boot_high", "p_value",
+        ((F.col("n_high") >= least) & (F.col("n_low") >= least)).alias("arms_sufficient"),
+    )
+    zero = F.lit(0).cast("long")
+    one = responses.select("hypothesis_id", "n", "clusters", zero.alias("n_high"), zero.alias("n_low"), "mean_bps", "boot_low", "boot_high", F.col("direction_p").alias("p_value"), F.lit(True).alias("arms_sufficient"))
+    got = tests.join(arms.unionByName(one), "hypothesis_id", "left")
+    got = got.withColumns({c: F.coalesce(c, zero) for c in ("n", "clusters", "n_high", "n_low")}).withColumn("arms_sufficient", F.coalesce("arms_sufficient", F.lit(False)))
     both = before.select("hypothesis_id", "p_value").withColumn("wave", F.lit("v1")).unionByName(got.select("hypothesis_id", "p_value").withColumn("wave", F.lit("v2")))
     every = benjamini_hochberg(both, "p_value", None, settings.alpha, "cumulative_q", "cumulative_reject").where("wave = 'v2'").drop("wave", "p_value")
-    least = settings.min_sample
-    enough = F.coalesce((F.col("clusters") >= least) & (F.col("n_high") >= least) & (F.col("n_low") >= least), F.lit(False))
-    got = got.join(every, "hypothesis_id").withColumn("sample_sufficient", enough).withColumn("bh_reject", F.col("bh_reject") & F.col("sample_sufficient"))
-    return got.withColumn("advances", F.coalesce(F.col("bh_reject") & F.col("cumulative_reject") & ((F.col("boot_low") > 0) | (F.col("boot_high") < 0)), F.lit(False)))
+    enough = (F.col("n") >= least) & (F.col("clusters") >= least) & F.col("arms_sufficient")
+    got = got.join(every, "hypothesis_id").withColumn("cumulative_reject", F.col("cumulative_reject") & F.coalesce(enough, F.lit(False)))
+    return decided(got, enough, settings, F.col("cumulative_reject"))
 
 
 def ranked(ledger_rows: DataFrame) -> DataFrame:

@@ -18,11 +18,12 @@ from .market import BARS15, FWD, PRIOR, _outcomes, _sessions
 
 C = Catalogue()
 ANCHORS = [60, 300, 600, 960]
-FIXED = f"""{FWD}, fx AS (SELECT 'fixed__' || clock_minute || '__120m' AS hypothesis_id, session_date, clock_minute AS entry_minute, 1 AS direction, return_bps, return_bps AS effect_bps FROM o WHERE scope = 'ETH' AND clock_minute IN (60, 300, 600, 960) AND horizon_minutes = 120)"""
+HHMM = "lpad((({m} + 1080) // 60 % 24)::VARCHAR, 2, '0') || lpad((({m} + 1080) % 60)::VARCHAR, 2, '0')"
+FIXED = f"""{FWD}, fx AS (SELECT 'fixed__' || {HHMM.format(m='clock_minute')} || '_' || {HHMM.format(m='(clock_minute + 120)')} AS hypothesis_id, session_date, clock_minute AS entry_minute, 1 AS direction, return_bps, return_bps AS effect_bps FROM o WHERE scope = 'ETH' AND clock_minute IN (60, 300, 600, 960) AND horizon_minutes = 120)"""
 
 
 def _fixed(spark, d):
-    return ev.fixed_clock(_outcomes(spark, d).where("scope = 'ETH'"), "fixed", ANCHORS, 120)
+    return ev.fixed_clock(_outcomes(spark, d).where("scope = 'ETH'"), "fixed", ANCHORS, 120, "ETH")
 
 
 @C.add(f"WITH {FIXED} SELECT hypothesis_id, {s('session_date')}, {b('entry_minute')}, {b('direction')}, {r('return_bps')}, {r('effect_bps')} FROM fx")
@@ -85,8 +86,8 @@ def lagged_quantile(spark, d):
     return ev.lagged_quantiles(_activity(spark, d), "vol", "rth_minute", {"q_low": 0.2, "q_high": 0.8}, 10, 5).select("session_date", "rth_minute", "vol", "vol_history", "q_low", "q_high")
 
 
-def _states(spark, d):
-    return ev.volatility_states(_activity(spark, d), "vol", 15, list(range(60, 331, 30)), 30, history=10, least=5)
+def _states(spark, d, horizon=30):
+    return ev.volatility_states(_activity(spark, d), "vol", 15, list(range(60, 331, 30)), horizon, history=10, least=5)
 
 
 STATE = f"""{ACT}, tg AS (SELECT *, rth_minute + 15 AS entry_minute FROM av WHERE (rth_minute + 15) IN ({', '.join(map(str, range(60, 331, 30)))})),
@@ -134,17 +135,28 @@ def first_pressure_burst(spark, d):
     return _bursts(spark, d).withColumn("activity", F.col("activity").cast("double"))
 
 
+#: The registered tests: 13, 2, 2 and 4 of the first wave, 2 and 2 of the second. Fixed values.
 FAMILIES = [
-    {"family": "fixed", "kind": "fixed_clock", "anchors": ANCHORS, "horizons": [120]}, {"family": "early", "kind": "directional", "horizons": [60, 120], "threshold": 10.0}, {"family": "break", "kind": "range_break", "horizons": [60]},
+    {"family": "rth_fixed_clock_30m", "kind": "fixed_clock", "anchors": list(range(0, 361, 30)), "horizons": [30]},
+    {"family": "overnight_gap_response", "kind": "directional", "anchor": 0, "horizons": [30, 60], "threshold": 10.0},
+    {"family": "opening_30_response", "kind": "directional", "anchor": 30, "horizons": [30, 60], "threshold": 10.0},
+    {"family": "reference_level_break_response", "kind": "range_break", "references": ["prior_rth_range", "overnight_range"], "horizons": [15, 30]},
+]
+FAMILIES_V2 = [
+    {"family": "volatility_state_transition", "kind": "volatility_state", "horizons": [15, 30]}, {"family": "signed_pressure_burst", "kind": "pressure", "horizons": [5, 15]},
 ]
 
 
-@C.add("SELECT hypothesis_id, family_id, kind, horizon::BIGINT AS horizon, entry_label FROM (VALUES ('fixed__60__120m', 'fixed', 'fixed_clock', 120, '19:00'), ('fixed__300__120m', 'fixed', 'fixed_clock', 120, '23:00'), ('fixed__600__120m', 'fixed', 'fixed_clock', 120, '04:00'), ('fixed__960__120m', 'fixed', 'fixed_clock', 120, '10:00'), ('early__60m', 'early', 'directional', 60, NULL), ('early__120m', 'early', 'directional', 120, NULL), ('break__60m', 'break', 'range_break', 60, NULL)) v(hypothesis_id, family_id, kind, horizon, entry_label)")
+@C.add("""WITH c AS (SELECT range AS m FROM range(0, 361, 30)), l AS (SELECT m, lpad(((m + 570) // 60)::VARCHAR, 2, '0') || lpad(((m + 570) % 60)::VARCHAR, 2, '0') AS a, lpad(((m + 600) // 60)::VARCHAR, 2, '0') || lpad(((m + 600) % 60)::VARCHAR, 2, '0') AS z FROM c),
+x AS (SELECT 'rth_fixed_clock_30m' AS family_id, 'rth_fixed_clock_30m__' || a || '_' || z AS hypothesis_id, 'sign_flip' AS "null", 30 AS horizon, a[1:2] || ':' || a[3:4] AS entry_label FROM l
+ UNION ALL SELECT f, f || '__' || h || 'm', 'direction', h, e FROM (VALUES ('overnight_gap_response', '09:30'), ('opening_30_response', '10:00')) f(f, e), (VALUES (30), (60)) h(h)
+ UNION ALL SELECT 'reference_level_break_response', 'reference_level_break_response__' || r || '__' || h || 'm', 'direction', h, NULL FROM (VALUES ('prior_rth_range'), ('overnight_range')) r(r), (VALUES (15), (30)) h(h)
+ UNION ALL SELECT 'volatility_state_transition', 'volatility_state_transition__' || h || 'm', 'state', h, NULL FROM (VALUES (15), (30)) h(h)
+ UNION ALL SELECT 'signed_pressure_burst', 'signed_pressure_burst__' || h || 'm', 'direction', h, NULL FROM (VALUES (5), (15)) h(h))
+SELECT hypothesis_id, family_id, "null", horizon::BIGINT AS horizon, entry_label FROM x""")
 def hypothesis_registry(spark, d):
-    from tidemark.functions import clock
-
-    got = ev.labels(ev.hypotheses(spark, FAMILIES))
-    return got.select("hypothesis_id", "family_id", "kind", "horizon", F.when(F.col("entry_minute").isNotNull(), clock.clock_label(F.lit("ETH"), F.col("entry_minute"))).alias("entry_label"))
+    got = ev.labels(ev.hypotheses(spark, FAMILIES + FAMILIES_V2))
+    return got.select("hypothesis_id", "family_id", "null", "horizon", "entry_label")
 
 
 def _tests(spark, d):
@@ -182,13 +194,89 @@ def family_summary(spark, d):
     return ev.family_summary(nf.benjamini_hochberg(_tests(spark, d), family=["family_id"]).withColumn("n", F.lit(1))).drop("min_n", "max_n")
 
 
-SMALL = replace(INFERENCE, replicates=1000, min_sample=10)
+#: For the given tables, which hold a month: fewer replicates, events and sessions than the defaults ask for.
+SMALL = replace(INFERENCE, replicates=1000, min_sample=10, history=10, min_history=5)
+
+
+def _results(spark, d):
+    """Deterministic results of both waves: counts and intervals out of the customers of each nation."""
+    p = F.when(F.col("n_nationkey") % 7 == 3, None).otherwise(F.col("share") * F.col("share") / 4)
+    c = table(spark, d, "customer", ("c_nationkey", "c_acctbal")).groupBy("c_nationkey")
+    c = c.agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"), F.avg((F.col("c_acctbal") > 9000).cast("double")).alias("share"))
+    c = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    way = F.when(F.col("n_nationkey") % 3 == 0, -1).otherwise(1)
+    wide = F.when(F.col("n_nationkey") % 5 == 4, F.lit(1e6)).otherwise(F.lit(1.0))
+    return c.select(
+        F.col("n_name").alias("hypothesis_id"), F.col("n_regionkey").cast("string").alias("family_id"), F.when(F.col("n_nationkey") % 2 == 0, "sign_flip").otherwise("direction").alias("null"),
+        F.col("n"), (F.col("n") - 1).alias("clusters"), F.lit(1).cast("long").alias("years"), (way * F.col("m")).alias("mean_bps"), (way * F.col("m") - wide).alias("boot_low"), (way * F.col("m") + wide).alias("boot_high"),
+        p.alias("sign_flip_p"), (p / 2).alias("direction_p"),
+    )
+
+
+RESULTS = """rs AS (
+  SELECT n_name AS hypothesis_id, n_regionkey::VARCHAR AS family_id, count(*) AS n, count(*) - 1 AS clusters, CASE WHEN n_nationkey % 3 = 0 THEN -1 ELSE 1 END * avg(c_acctbal) AS mean_bps,
+    CASE WHEN n_nationkey % 5 = 4 THEN 1e6 ELSE 1.0 END AS wide,
+    CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE avg((c_acctbal > 9000)::INT) * avg((c_acctbal > 9000)::INT) / 4 / CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END END AS p_value, n_nationkey
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey),
+"""
+
+
+def _q_sql(source: str, out: str, part: str = "", value: str = "p_value") -> str:
+    """q values by the step-up rule: for each test the least of p * m / rank over it and all greater ones."""
+    return f"""{out}_r AS (SELECT *, {value} * count({value}) OVER ({part}) / row_number() OVER ({part} ORDER BY {value} NULLS LAST, hypothesis_id) AS {out}_raw FROM {source}),
+{out} AS (SELECT *, CASE WHEN {value} IS NOT NULL THEN least(1.0, min({out}_raw) OVER ({part} ORDER BY {value} NULLS LAST, hypothesis_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS {out}_q FROM {out}_r)"""
+
+
+DECIDED = "CASE WHEN NOT enough THEN 'insufficient_sample' WHEN advances THEN 'advances_to_phase7' ELSE 'does_not_advance' END AS result"
+
+
+@C.add(f"""WITH {RESULTS}{_q_sql('rs', 'fam', 'PARTITION BY family_id')}, e AS (SELECT *, n >= 60 AS enough, coalesce(fam_q <= 0.05, false) AND n >= 60 AS bh_reject, (mean_bps - wide > 0 OR mean_bps + wide < 0) AND n >= 60 AS ci_excludes_zero FROM fam),
+a AS (SELECT *, bh_reject AND ci_excludes_zero AS advances FROM e)
+SELECT hypothesis_id, {r('p_value')}, {r('fam_q', 'q_value')}, enough AS sample_sufficient, bh_reject, ci_excludes_zero, advances, {DECIDED} FROM a""")
+def ledger_decisions(spark, d):
+    own = _results(spark, d)
+    got = nf.ledger(own.select("hypothesis_id", "family_id", "null"), own.drop("family_id", "null"), replace(SMALL, min_sample=60))
+    return got.select("hypothesis_id", "p_value", "q_value", "sample_sufficient", "bh_reject", "ci_excludes_zero", "advances", "result")
+
+
+@C.add(f"""WITH {RESULTS}v2 AS (SELECT 'v2_' || hypothesis_id AS hypothesis_id, family_id, n, clusters, mean_bps, wide, n_nationkey % 2 = 0 AS arms, n // 2 AS n_high, n - n // 2 AS n_low, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE p_value / 3 END AS p_value FROM rs),
+{_q_sql('v2', 'fam', 'PARTITION BY family_id')}, both_w AS (SELECT hypothesis_id, p_value FROM rs UNION ALL SELECT hypothesis_id, p_value FROM v2), {_q_sql('both_w', 'cum')},
+e AS (SELECT fam.*, cum_q, n >= 20 AND clusters >= 20 AND (NOT arms OR (n_high >= 20 AND n_low >= 20)) AS enough FROM fam JOIN cum USING (hypothesis_id)),
+g AS (SELECT *, coalesce(fam_q <= 0.05, false) AND enough AS bh_reject, coalesce(cum_q <= 0.05, false) AND enough AS cumulative_reject, (mean_bps - wide > 0 OR mean_bps + wide < 0) AND enough AS ci_excludes_zero FROM e),
+a AS (SELECT *, bh_reject AND cumulative_reject AND ci_excludes_zero AS advances FROM g)
+SELECT hypothesis_id, {r('fam_q', 'q_value')}, {r('cum_q', 'cumulative_q')}, enough AS sample_sufficient, bh_reject, cumulative_reject, ci_excludes_zero, advances, {DECIDED} FROM a""")
+def ledger_decisions_v2(spark, d):
+    own = _results(spark, d).withColumn("p_value", nf.p_by_null())
+    wave = own.withColumn("hypothesis_id", F.concat(F.lit("v2_"), "hypothesis_id")).withColumn("p_value", F.col("p_value") / 3)
+    arms = wave.where(F.col("null") == "sign_flip").withColumns({"n_high": F.floor(F.col("n") / 2).cast("long"), "difference_bps": F.col("mean_bps")}).withColumn("n_low", F.col("n") - F.col("n_high"))
+    one = wave.where(F.col("null") == "direction").withColumn("direction_p", F.col("p_value"))
+    got = nf.ledger_v2(wave.select("hypothesis_id", "family_id"), arms, one, own, replace(SMALL, min_sample=20))
+    return got.select("hypothesis_id", "q_value", "cumulative_q", "sample_sufficient", "bh_reject", "cumulative_reject", "ci_excludes_zero", "advances", "result")
+
+
+EVENT = ["hypothesis_id", "session_date", "entry_minute", "direction", "return_bps", "effect_bps"]
 
 
 def _all_events(spark, d):
-    cols = ["hypothesis_id", "session_date", "entry_minute", "direction", "return_bps", "effect_bps"]
-    breaks = _breaks(spark, d).withColumn("hypothesis_id", F.lit("break__60m"))
-    return ev.union([x.select(*cols) for x in (_fixed(spark, d), _directional(spark, d), breaks)])
+    """The events of the 21 tests of the first wave, on quarter-hour bars of regular hours."""
+    own = bars(spark, d)
+    rth = own.where("is_rth")
+    ahead = oc.forward(rth, (30, 60), 15, 30, "rth_minute")
+    night = own.where("rth_minute < 0").groupBy("session_date").agg(F.max("high").alias("overnight_high"), F.min("low").alias("overnight_low"), F.count("*").alias("night_bars"))
+    opening = rth.where("rth_minute < 30").groupBy("session_date").agg(F.min_by("open", "ts").alias("rth_open"), F.max_by("close", "ts").alias("close_30"), F.count("*").alias("bars_30"))
+    day = _sessions(spark, d).join(night, "session_date", "left").join(opening, "session_date", "left")
+    gap = day.select("session_date", (F.col("rth_open") / F.col("prior_rth_close") - 1).alias("signal"), F.col("prior_valid").alias("valid"))
+    first = day.select("session_date", (F.col("close_30") / F.col("rth_open") - 1).alias("signal"), (F.col("bars_30") == 2).alias("valid"))
+    found = [
+        ev.fixed_clock(ahead, "rth_fixed_clock_30m", FAMILIES[0]["anchors"], 30), ev.directional(ahead, gap, "overnight_gap_response", 0, [30, 60], 10.0),
+        ev.directional(ahead, first, "opening_30_response", 30, [30, 60], 10.0),
+    ]
+    levels = bf.with_sessions(rth, day.select("session_date", "prior_rth_high", "prior_rth_low", "overnight_high", "overnight_low"))
+    for name, upper, lower in (("prior_rth_range", "prior_rth_high", "prior_rth_low"), ("overnight_range", "overnight_high", "overnight_low")):
+        for h in (15, 30):
+            broken = ev.first_break(levels, upper, lower, 15, h, (0, 240))
+            found.append(broken.withColumn("hypothesis_id", F.lit(f"reference_level_break_response__{name}__{h}m")))
+    return ev.union([x.select(*EVENT) for x in found])
 
 
 @C.add()
@@ -203,7 +291,15 @@ def v1_ledger(spark, d):
 
 
 def _contrasts(spark, d):
-    return nf.contrasted(_states(spark, d).withColumn("hypothesis_id", F.lit("vol_state__30m")), SMALL)
+    every = [_states(spark, d, h).withColumn("hypothesis_id", F.lit(f"volatility_state_transition__{h}m")) for h in (15, 30)]
+    return nf.contrasted(ev.union(every), SMALL)
+
+
+def _responses(spark, d):
+    """The first bursts of five-minute bars and what follows them."""
+    rth = bars(spark, d, 5).where("is_rth")
+    every = [ev.first_bursts(rth, 5, h, (30, 330), 1, history=10, least=5).withColumn("hypothesis_id", F.lit(f"signed_pressure_burst__{h}m")) for h in (5, 15)]
+    return nf.resampled(ev.union([x.select(*EVENT) for x in every]), SMALL, SMALL.seed_v2)
 
 
 @C.add()
@@ -211,7 +307,15 @@ def cluster_contrast(spark, d):
     return _contrasts(spark, d)
 
 
+@C.add(f"""WITH {STATE}, o AS (SELECT 'volatility_state_transition__30m' AS hypothesis_id, * FROM st)
+SELECT hypothesis_id, count(DISTINCT session_date) AS clusters, count(*) FILTER (WHERE state = 'high') AS n_high, count(*) FILTER (WHERE state = 'low') AS n_low, {r(DIFF, 'difference_bps')} FROM o GROUP BY hypothesis_id""")
+def observed_contrast(spark, d):
+    """What `cluster_contrast` observes, without its draws."""
+    own = _states(spark, d).withColumn("hypothesis_id", F.lit("volatility_state_transition__30m"))
+    return nf.contrasted(own, SMALL).select("hypothesis_id", "clusters", "n_high", "n_low", "difference_bps")
+
+
 @C.add()
 def v2_ledger(spark, d):
-    tests = ev.hypotheses(spark, [{"family": "vol_state", "kind": "volatility_state", "horizons": [30]}])
-    return nf.ledger_v2(tests, _contrasts(spark, d), nf.resampled(_all_events(spark, d), SMALL), SMALL)
+    before = nf.ledger(ev.hypotheses(spark, FAMILIES), nf.resampled(_all_events(spark, d), SMALL), SMALL)
+    return nf.ledger_v2(ev.hypotheses(spark, FAMILIES_V2), _contrasts(spark, d), _responses(spark, d), before, SMALL)
