@@ -22,7 +22,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words of more bytes are merged by a heap, one by one.
 LONG = 64
 #: Parts of texts that a worker remembers.
-MEMORY = 200_000
+MEMORY = 120_000
 _NONE = np.int64(2**31 - 1)
 
 

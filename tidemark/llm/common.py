@@ -20,8 +20,9 @@ T = TypeVar("T")
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows that go to Python at once at most.
+#: Rows, and bytes beyond which no row is added, that go to Python at once.
 ROWS, BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Rows up to which a side whose rows are a few numbers may be broadcast; it is counted first.
 BROADCAST_ROWS = 1_000_000
@@ -82,10 +83,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def modest(df: DataFrame) -> DataFrame:
-    """df; its session from now on sends Python at most ROWS rows at once, as texts may be long and both sides hold what is sent."""
+    """df; its session from now on sends Python at most ROWS rows or about BYTES at once, as texts may be long and both sides hold what is sent."""
     conf = df.sparkSession.conf
     if int(conf.get(BATCH)) > ROWS or int(conf.get(BATCH)) <= 0:
         conf.set(BATCH, ROWS)
+    if int((conf.get(BATCH_BYTES, "0") or "0").lower().removesuffix("b")) > BYTES:
+        conf.set(BATCH_BYTES, str(BYTES))
     return df
 
 
@@ -107,6 +110,13 @@ def kept(key: tuple, make: Callable[[], T]) -> T:
     return _kept[1]
 
 
+def forget() -> None:
+    """Gives up what an earlier stage has kept in this Python worker."""
+    if _kept[0] is not None:
+        _kept[:] = [None, None]
+        tidy()
+
+
 def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part has about `most` bytes of text in the column, and one row at least."""
     for batch in batches:

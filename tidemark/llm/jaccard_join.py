@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, modest, parts, read, settle, small, written
+from .common import BROADCAST_ROWS, discard, forget, modest, parts, read, settle, small, written
 from .components import components
 
 SHINGLE, SIMILARITY = 4, 85  # words; hundredths
 #: Shingles in more documents than this are told apart by frequency, and so many of them at most: the sole broadcast that grows, up to this bound.
 COMMON, MOST_COMMON = 8, 1_500_000
 #: Bits of a shingle's hash that its frequency is counted by, and shingles that a task counts at once.
-COUNT_BITS, COUNT_AT_ONCE = 40, 3_000_000
+COUNT_BITS, COUNT_AT_ONCE = 40, 1_500_000
 #: Round by round, how many groups ahead in a shingle's order each meets, and partners that a group is compared with at most, before
 #: all that may still join two components is compared. Rounds after the first look at shingles of components with LARGE members.
 AHEAD, PARTNERS, LARGE = (1, 12, 16), (6, 64, 96), 8
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Documents that hold a shingle, beyond which its postings are dealt over several tasks.
 HOT = 20_000
 #: Shingles that sets may have in all to be broadcast: 24 MB.
@@ -134,6 +134,7 @@ def frequencies(documents: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, np.
                 yield p, bytes([wide]) + gaps.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -186,6 +187,7 @@ def prefixes(documents: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int
     known = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys, counts = known.value
         for batch in parts(batches, "text", SEGMENT):
             n, s1, s2, prefix = [], [], [], []
@@ -211,6 +213,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (cls) -> cls, items: the sets of these documents, made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts(batches, "text", SEGMENT):
             got = [x.view(np.int64) for x in shingle_sets(batch["text"].to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([batch["cls"], pa.array(got, pa.list_(pa.int64()))], names=["cls", "items"])

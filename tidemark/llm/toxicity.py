@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .chunks import split
-from .common import held_out, kept, modest, parts, read, settle
+from .common import forget, held_out, kept, modest, parts, read, settle
 
 #: Labelled documents of each class (expected number) that weights are learned from, and features that a model may have.
 SAMPLE, FEATURES = 5_000, 20_000
@@ -46,7 +46,7 @@ ENDS = ".,;:!?"
 #: Letters beyond which a word's feature is a hash of it.
 SPELT = 40
 #: Parts whose hits a worker remembers.
-MEMORY = 250_000
+MEMORY = 150_000
 
 
 def arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +141,7 @@ def letter_counts(documents: DataFrame) -> tuple[str, dict[int, int]]:
     """The most frequent letters of all documents and their trigrams: counts of every text, summed in tasks and then by key."""
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(0x110000, np.int64)
         for batch in parts(batches, "text", 1 << 20):
             at = np.frombuffer("".join(x or "" for x in batch["text"].to_pylist()).lower().encode("utf-32-le", "replace"), np.uint32)
