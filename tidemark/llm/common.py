@@ -87,7 +87,7 @@ def modest(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     if int(conf.get(BATCH)) > ROWS or int(conf.get(BATCH)) <= 0:
         conf.set(BATCH, ROWS)
-    if int((conf.get(BATCH_BYTES, "0") or "0").lower().removesuffix("b")) > BYTES:
+    if conf.get(BATCH_BYTES) != str(BYTES):
         conf.set(BATCH_BYTES, str(BYTES))
     return df
 
