@@ -143,6 +143,27 @@ def test_join_query(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op2_ngram_jaccard_join"](spark, DATA).collect()} == brute(docs)
 
 
+def by_sql(name: str, table: str, df) -> list[tuple]:
+    con = duckdb.connect()
+    con.register(table, df.toArrow())
+    got = con.execute(ORACLE_SQL[name])
+    order = sorted(range(len(got.description)), key=lambda i: got.description[i][0])
+    return sorted((tuple(r[i] for i in order) for r in got.fetchall()), key=repr)
+
+
+def by_name(df) -> list[tuple]:
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+
+
+def test_join_equals_sql(spark, odd):
+    assert by_name(QUERIES["op2_ngram_jaccard_join"](spark, DATA)) == by_sql("op2_ngram_jaccard_join", "documents", read(spark, DATA, "documents"))
+    assert by_name(jaccard_join.near_duplicates(odd)) == by_sql("op2_ngram_jaccard_join", "documents", odd.select("doc_id", "text"))
+    base = [f"w{i}" for i in range(120)]
+    near = [(i, " ".join([*base[:100], *(f"x{i}_{j}" for j in range(i // 2))])) for i in range(24)] + [(50, None), (51, " ".join(base))]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    assert by_name(jaccard_join.near_duplicates(df)) == by_sql("op2_ngram_jaccard_join", "documents", df)
+
+
 def test_join_odd_rows(spark, odd, empty):
     rows = jaccard_join.near_duplicates(odd).collect()
     assert len(rows) == 10
@@ -263,6 +284,20 @@ def test_vectors_query(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op4_embedding_near_dedup"](spark, DATA).collect()} == plain_links(x)
 
 
+def test_vectors_equal_sql(spark):
+    assert by_name(QUERIES["op4_embedding_near_dedup"](spark, DATA)) == by_sql("op4_embedding_near_dedup", "embeddings", read(spark, DATA, "embeddings"))
+    rng = np.random.default_rng(5)
+    made = []
+    for i in range(40):
+        x = rng.normal(size=8)
+        made += [(4 * i + j, (x + j * 0.12 * rng.normal(size=8)).tolist()) for j in range(4)]
+    nan = float("nan")
+    made += [(500, None), (501, []), (502, [0.0] * 8), (503, [nan] + [1.0] * 7), (504, [None] + [1.0] * 7), (505, [1.0, 2.0]), (506, [2.0, 4.0]), (None, made[0][1]), (1000, made[0][1]), (1000, made[4][1])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    want = by_sql("op4_embedding_near_dedup", "embeddings", df)
+    assert by_name(embeddings.near_duplicates(df)) == want and sum(r[2] > 0 for r in want) > 60
+
+
 @pytest.mark.parametrize("pairs", [0, 3000])
 def test_recall_of_planted_pairs_over_many_rows(spark, pairs):
     """24,000 clustered vectors; pairs planted from the threshold upwards, or only so few that probing hardly sees any."""

@@ -312,3 +312,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of rows, and what is reachable.
+OP4_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER () AS r FROM embeddings),
+f AS (
+  SELECT r, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT p.r AS a, q.r AS b FROM f p JOIN f q
+  ON p.r <> q.r AND len(p.x) = len(q.x) AND list_sum(list_transform(list_zip(p.x, q.x), lambda z: z[1] * z[2])) >= 0.95 * p.norm * q.norm),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.other = l.a),
+m AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.other = v.r GROUP BY reach.r),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, m.component_id, coalesce(m.component_id = v.vec_id, false) AS kept
+FROM v JOIN m ON v.r = m.r LEFT JOIN n ON v.r = n.a
+"""

@@ -422,3 +422,28 @@ def one_of_each(documents: DataFrame, k: int = SHINGLE, similarity: int = SIMILA
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: All sets with equal ones as one class, all pairs of classes that share a shingle, and what is reachable.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(CASE
+      WHEN len(w) >= 4 THEN list_distinct(list_transform(list_zip(w, w[2:], w[3:], w[4:], true), lambda z: concat_ws(' ', z[1], z[2], z[3], z[4])))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS items
+  FROM d),
+c AS (
+  SELECT items, min(doc_id) AS class_id, len(items) AS n, row_number() OVER (ORDER BY min(doc_id), items) AS id
+  FROM s WHERE doc_id IS NOT NULL AND len(items) > 0 GROUP BY items),
+p AS (SELECT id, n, unnest(items) AS shingle FROM c),
+l AS (
+  SELECT x.id AS a, y.id AS b
+  FROM p x JOIN p y ON x.shingle = y.shingle AND x.id < y.id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  GROUP BY x.id, y.id, x.n, y.n HAVING 185 * count(*) >= 85 * (x.n + y.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT id, id AS other FROM c UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a),
+m AS (SELECT reach.id, min(c.class_id) AS component_id FROM reach JOIN c ON reach.other = c.id GROUP BY reach.id)
+SELECT s.doc_id, len(s.items) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s LEFT JOIN c ON s.doc_id IS NOT NULL AND s.items = c.items LEFT JOIN m ON c.id = m.id
+"""

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
-from .embeddings import op4_embedding_near_dedup
+from .embeddings import OP4_SQL, op4_embedding_near_dedup
 from .fingerprints import op8_fingerprints
-from .jaccard_join import op2_ngram_jaccard_join
+from .jaccard_join import OP2_SQL, op2_ngram_jaccard_join
 from .language import op10_language
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import OP3_SQL, op3_mixing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_mixing": OP3_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op3_mixing": OP3_SQL, "op4_embedding_near_dedup": OP4_SQL}
