@@ -39,7 +39,7 @@ FOOTER = struct.Struct("<QQQQQQI8s")
 ENTRY, INDEX = struct.Struct("<HHI"), struct.Struct("<8sQI")
 BLOCK, SHARD, HASHES = 64 << 10, 8 << 20, 7
 #: Parts that a worker remembers; the library needs most of the time.
-MEMORY = 1_000_000
+MEMORY = 750_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 
