@@ -55,26 +55,29 @@ class Pieces:
         later = self.later
         got = list(map(later.get, parts))
         gaps = [i for i, x in enumerate(got) if x is None]
-        lone, marked, other = [], [], []
+        lone, stems, marked, other = [], [], [], []
         for i in gaps:
             x = parts[i]
             if self.plain and x.isalpha():
-                lone.append(x)
-            elif self.plain and x[-1:] in (",", ".") and x[:-1].isalpha():
-                marked.append((i, x[:-1], x[-1]))
+                lone.append(i)
+            elif self.plain and x[-1:] in (",", ".") and (stem := x[:-1]).isalpha():
+                stems.append(stem)
+                marked.append(i)
             elif x and not x[0].isspace() and not x[-1].isspace():
                 other.append(i)
-        new = lone + [x for x in {x for _, x, _ in marked} - set(lone) if x not in later]
+        new = [parts[i] for i in lone]
+        new += {x for x in stems if x not in later}.difference(new)
         if len(later) + len(new) > self.most:
-            used = {x: later[x] for x in [*parts, *(x for _, x, _ in marked)] if x in later}
+            used = {x: later[x] for x in [*parts, *stems] if x in later}
             later.clear()
             later.update(used)
-        later.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        codes = self.encode([" " + x for x in new])
+        later.update(zip(new, codes, strict=True))
+        for i, ids in zip(lone, codes, strict=False):  # the first ones are theirs
+            got[i] = ids
         ends = dict(zip(",.", self._matched([[","], ["."]]), strict=True))
-        for i in gaps:
-            got[i] = later.get(parts[i])
-        for i, x, mark in marked:
-            got[i] = later[x] + ends[mark]
+        for i, x in zip(marked, stems, strict=True):
+            got[i] = later[x] + ends[parts[i][-1]]
         for i, ids in zip(other, self._matched([self.find(" " + parts[i]) for i in other]), strict=True):
             got[i] = ids
         return got
