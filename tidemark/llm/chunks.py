@@ -94,11 +94,15 @@ class Pieces:
         index[offsets[:-1]] = np.arange(len(texts)) + len(known)  # a text's first part has no space before it
         wide = np.dtype(kind).itemsize
         each = [x or b"" for x in known] + heads
-        size = np.array([len(x) for x in each]) // wide
+        size = np.fromiter(map(len, each), np.int64, len(each)) // wide
         ids = np.frombuffer(b"".join(each), kind)
         n = size[index]
         ends = np.cumsum(n)
-        flat = ids[np.repeat(np.cumsum(size)[index] - ends, n) + np.arange(ends[-1])]
+        place = np.int32 if max(ends[-1], len(ids)) < 1 << 31 else np.int64
+        start = (np.cumsum(size)[index] - ends).astype(place)
+        places = np.repeat(start, n)
+        places += np.arange(ends[-1], dtype=place)
+        flat = ids[places]
         bounds = np.concatenate(([0], ends))[offsets]
         whole = np.add.reduceat(odd[index], offsets[:-1]) > 0
         for i, (x, own) in enumerate(zip(firsts, np.diff(offsets).tolist(), strict=True)):

@@ -130,3 +130,18 @@ def parts(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -
         if at < len(size):
             yield batch.slice(at)
     tidy()
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """What `parts` gives, put together again so far as the text in the column stays within `most` bytes: words that batches share are looked up once."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for part in parts(batches, column):
+        size = pc.sum(pc.binary_length(part[column].cast(pa.large_binary()))).as_py() or 0
+        if held and total + size > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+        held.append(part)
+        total += size
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import Pieces
-from .common import kept, modest, parts, read, shared_dir, small
+from .common import gathered, kept, modest, read, shared_dir, small
 
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QQQQQQI8s")
@@ -253,7 +253,7 @@ def write(documents: DataFrame, out: str, path: str = TOKENIZER, end: int = END,
             now = Writer(wide)
 
         closing = np.array([end], f"<u{wide}").tobytes()
-        for batch in parts(batches, "text"):
+        for batch in gathered(batches, "text"):
             texts = [x or "" for x in batch["text"].to_pylist()]
             for doc_id, own in zip(batch["doc_id"].to_pylist(), pieces(texts), strict=True):
                 if not now.keys:
