@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from tidemark.llm import bpe, sstable, token_counts
 from tidemark.llm.chunks import Pieces, spelt
-from tidemark.llm.common import read, shared_dir
+from tidemark.llm.common import gathered, read, shared_dir
 from tidemark.llm.registry import QUERIES
 
 from .conftest import DATA, texts
@@ -221,6 +222,16 @@ def test_null_and_least_identifiers_are_found_apart():
     assert len(r.index) > 3 and r.lookup(None)[0] == 0 and r.lookup(-(1 << 63)).tolist() == [7] and r.lookup(0).tolist() == [8]
 
 
+def test_gathered_batches_have_all_rows_in_order():
+    rows = [(i, None if i % 7 == 0 else "é" * (i % 40)) for i in range(500)] + [(500, "x" * 9_000), (501, "")]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": x} for i, x in rows[k : k + 60]], pa.schema({"doc_id": pa.int64(), "text": pa.string()})) for k in range(0, len(rows), 60)]
+    got = list(gathered([batches[0].slice(0, 0), *batches], "text", 5_000))
+    assert [(x["doc_id"], x["text"]) for b in got for x in b.to_pylist()] == rows
+    assert len(got) < len(batches)
+    assert all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b["text"].to_pylist()) <= 5_000 or b is got[-1] for b in got[:-1])
+    assert list(gathered([], "text")) == [] == list(gathered([batches[0].slice(0, 0)], "text"))
+
+
 def test_op7_query(spark):
     lib, want, start = LIB, {}, 0
     for r in read(spark, DATA, "documents").orderBy("doc_id").collect():
