@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from dataclasses import replace
 from datetime import date
 
@@ -20,9 +21,18 @@ C = Catalogue()
 QUARTERS = replace(WINDOWS, opening=(15, 30, 60), lags=(1, 2, 4), vol=(4, 8), ranges=(4,), regime_long=5, regime_short=2)
 
 
+def _months(every):
+    """The first and last day of the months that the bars' sessions may be in; January 2024 without bars."""
+    # a session starts on the evening before its day
+    first, last = every.agg(F.min("ts").cast("date"), F.max(F.col("ts") + F.expr("INTERVAL 1 DAY")).cast("date")).first()
+    first, last = first or date(2024, 1, 1), last or date(2024, 1, 31)
+    return first.replace(day=1), last.replace(day=monthrange(last.year, last.month)[1])
+
+
 def _sessions(spark, d):
-    schedule = calendar.schedule(spark, date(2024, 1, 1), date(2024, 1, 31))
-    records = ql.session_records(calendar.expected_bars(schedule, 15), all_bars(spark, d))
+    every = all_bars(spark, d)
+    schedule = calendar.schedule(spark, *_months(every))
+    records = ql.session_records(calendar.expected_bars(schedule, 15), every)
     usable = records.select("session_date", (F.col("missing_rth_bars") < 3).alias("usable"))
     return ft.session_table(bars(spark, d), schedule, usable, 15, QUARTERS)
 
